@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries; each has QUERIES and ORACLE_SQL.
-MODULES = ("bpe", "sharding", "packing", "quality", "warc")
+MODULES = ("bpe", "sharding", "packing", "toxicity", "quality", "html_extract", "warc")
 
 
 def _collect(attribute: str) -> dict:
