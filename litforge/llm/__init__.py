@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries; each has QUERIES and ORACLE_SQL.
-MODULES = ("ngram_join", "bpe", "sharding", "suffix_dedup", "packing", "toxicity", "quality", "html_extract", "warc")
+MODULES = ("ngram_join", "bpe", "sharding", "suffix_dedup", "ann", "packing", "toxicity", "quality", "html_extract", "warc")
 
 
 def _collect(attribute: str) -> dict:
