@@ -71,6 +71,10 @@ def community_label(terms: DataFrame) -> DataFrame:
     return terms.groupBy("community_id").agg(F.array_join(F.transform(first, lambda x: x["term"]), " ").alias("label"))
 
 
+def _times(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda t: t == word))
+
+
 def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, limit: int | None = 10) -> DataFrame:
     """``(doc_id, score)`` by weighted field scores; words are alternatives.  The query is small and becomes literals."""
     words = sorted({w for w in query.lower().split() if w})
@@ -78,7 +82,7 @@ def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.2
     for field, weight in weights.items():
         parts = F.filter(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
         rows = docs.select("doc_id", F.size(parts).alias("dl"), parts.alias("t"))
-        tf = [F.size(F.filter("t", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(words)]
+        tf = [_times("t", w).alias(f"tf{i}") for i, w in enumerate(words)]
         rows = rows.select("doc_id", "dl", *tf)
         facts = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
         score = F.lit(0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,19 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+MODULES = ("corpus_queries", "table_queries", "graph_queries", "evaluation_queries")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"litforge.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
