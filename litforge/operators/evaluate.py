@@ -33,7 +33,7 @@ def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
-    return parts.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (wins / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return parts.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def kappa(pairs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ AUC_SQL = "s AS (SELECT lang, n_chars AS score, quality = 1 AS positive, quality
 def auc_sql(by: str) -> str:
     key = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
-    return f"WITH {AUC_SQL}, r AS (SELECT {key}positive, avg(n) OVER (PARTITION BY {key}score) AS r FROM (SELECT *, row_number() OVER ({part}ORDER BY score) AS n FROM s)) SELECT {key}count(*) FILTER (positive) AS positives, count(*) FILTER (NOT positive) AS negatives, {r_sql('(sum(r) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2.0) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive))')} AS auc FROM r{' GROUP BY ' + by if by else ''}"
+    return f"WITH {AUC_SQL}, r AS (SELECT {key}positive, avg(n) OVER (PARTITION BY {key}score) AS r FROM (SELECT *, row_number() OVER ({part}ORDER BY score) AS n FROM s)) SELECT {key}count(*) FILTER (positive) AS positives, count(*) FILTER (NOT positive) AS negatives, {r_sql('(sum(r) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2.0) / nullif(count(*) FILTER (positive) * count(*) FILTER (NOT positive), 0)')} AS auc FROM r{' GROUP BY ' + by if by else ''}"
 
 
 @register("auc_quality", auc_sql(""))

@@ -166,7 +166,9 @@ def reactions(spark, d):
     b = table(spark, d, "part").select("p_brand").distinct()
     rows = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     name = lambda i: F.concat(F.col("p_brand"), F.lit("/"), ((F.col("k") + i) % 5).cast("string"))
-    return rows.select(F.concat(F.lit("r"), name(0)).alias("id"), F.array(F.lit("food"), F.when(F.col("k") > 0, name(0)).otherwise("food")).alias("reactants"), F.array(name(2)).alias("catalysts"), F.array(name(1)).alias("products"), F.col("p_brand").alias("source"))
+    rings = rows.select(F.concat(F.lit("r"), name(0)).alias("id"), F.array(F.lit("food"), F.when(F.col("k") > 0, name(0)).otherwise("food")).alias("reactants"), F.array(name(2)).alias("catalysts"), F.array(name(1)).alias("products"), F.col("p_brand").alias("source"))
+    links = b.select(F.concat(F.lit("x"), "p_brand").alias("id"), F.array(F.concat("p_brand", F.lit("/1"))).alias("reactants"), F.array(F.lit("none")).alias("catalysts"), F.array(F.lit("Brand#1/2")).alias("products"), F.lit("links").alias("source"))
+    return rings.unionByName(links)
 
 
 @register("raf_sets", None)
@@ -223,4 +225,4 @@ def streamed_counts(spark, d):
     name = f"counts_{uuid.uuid4().hex}"
     rows = progress.read_events(spark, f"{d}/events.parquet*", schema=table(spark, d, "events").schema)
     progress.run_available(progress.windowed_counts(rows), name, f"{shared_dir(spark)}/litforge/stream-{name}")
-    return spark.table(name).select("start", "event_type", "n", R(F.col("value")).alias("value"))
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", R(F.col("value")).alias("value"))

@@ -18,7 +18,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1, schema
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their value by window and kind; later ones than the watermark are dropped."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
