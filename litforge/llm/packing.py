@@ -15,7 +15,7 @@ are packed once each; an empty table gives no rows; a null doc_id stays null.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from litforge.llm.bpe import Memory
+from litforge.llm.bpe import Memory, byte_letters
 from litforge.session import materialize, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,7 +39,10 @@ CAPACITY = 2048
 NEARLY_FULL = 0.995
 #: Items of one task above the first level.
 ITEMS = 20_000
-CACHE = 300_000
+CACHE = 500_000
+
+#: White space other than single blanks and line feeds.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 MEMBER = np.dtype([("doc_id", "<i8"), ("known", "i1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("offset", "<i4")])
 BINS = "bin long, fill int, members binary, done boolean"
@@ -59,18 +63,33 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.uneven = re.compile(r"^\s|\s\s|\s$|[^\S \n]")
+        self.pieces = self._pieces(path)
         self.feed = self._ids("\n")
-        self.heads = Memory(self._ids, CACHE)
-        self.inner = Memory(lambda chunk: self._ids(" " + chunk), CACHE)
+        self.heads = Memory(self._piece, CACHE)
+        self.inner = Memory(lambda chunk: self._piece(" " + chunk), CACHE)
+
+    @staticmethod
+    def _pieces(path: str) -> tiktoken.Encoding | None:
+        """The same vocabulary for single words: quicker to call where ids follow the order of merges."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        code = {c: b for b, c in enumerate(byte_letters())}
+        merged = [model["vocab"][a + b] for a, b in model["merges"]]
+        if merged != sorted(merged) or model.get("ignore_merges"):
+            return None
+        ranks = {bytes(code[c] for c in token): i for token, i in model["vocab"].items() if all(c in code for c in token)}
+        return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, text: str) -> bytes:
+        return array("I", self.pieces.encode_ordinary(text)).tobytes() if self.pieces else self._ids(text)
+
     def encode_bytes(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.uneven.search(text) or any(t in text for t in self.special):
+        if text[0].isspace() or text[-1].isspace() or any(t in text for t in UNEVEN) or any(t in text for t in self.special):
             return self._ids(text)
         out: list[bytes] = []
         for line in text.split("\n"):
