@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\S+")
@@ -37,7 +38,11 @@ def find_snippet(text: str | None, snippet: str | None, least: float = 0.5) -> t
     return len(text[:left].encode()), len(text[:right].encode())
 
 
-@F.pandas_udf("start long, end long")
-def snippet_range(text: pd.Series, snippet: pd.Series) -> pd.DataFrame:
-    found = [find_snippet(t, s) or (None, None) for t, s in zip(text, snippet, strict=True)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int64")
+def snippet_range(text: Column, snippet: Column) -> Column:
+    """Struct of the byte range, null fields where nothing is found."""
+
+    def run(texts: pd.Series, snippets: pd.Series) -> pd.DataFrame:
+        found = [find_snippet(t, s) or (None, None) for t, s in zip(texts, snippets, strict=True)]
+        return pd.DataFrame(found, columns=["start", "end"]).astype("Int64")
+
+    return F.pandas_udf(run, "start long, end long")(text, snippet)

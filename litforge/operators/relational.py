@@ -80,8 +80,8 @@ def method_matrix(items: DataFrame, key: str, position: str, category: str) -> D
     both, and c * (c + 1) / 2 within one, so lists are counted and never paired
     row by row.
     """
-    counts = items.groupBy(key, category).agg(F.count("*").alias("c"))
-    a, b = counts.select(key, F.col(category).alias("a"), F.col("c").alias("ca")), counts.select(key, F.col(category).alias("b"), F.col("c").alias("cb"))
+    counts = items.groupBy(key, category).agg(F.count("*").alias("__n"))
+    a, b = counts.select(key, F.col(category).alias("a"), F.col("__n").alias("ca")), counts.select(key, F.col(category).alias("b"), F.col("__n").alias("cb"))
     both = a.join(b, key).filter("a <= b")
     n = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") + 1) / 2).otherwise(F.col("ca") * F.col("cb"))
     return both.groupBy("a", "b").agg(F.sum(n.cast("bigint")).alias("n"))
