@@ -4,10 +4,12 @@ Two texts link when the Jaccard similarity of their sets of WORDS-word shingles
 is PERCENT per cent or more.  The join is exact:
 
 1. Equal sets are one: texts are known by a 64-bit hash of their set.
-2. In any fixed order of shingles, the first floor(n * (100 - PERCENT) / 100) + 1
-   of a set of n hold one of every set that it links with.  The order is by
-   frequency class, then hash: shingles of many texts come last, so passages
-   that many texts share seldom bring them together.
+2. In any fixed order of shingles, the first floor(n * (100 - PERCENT) / 100) + k
+   of a set of n hold k of every set that it links with among that set's own
+   first ones.  With k growing with n, a set that finds too few of its first
+   shingles elsewhere has no links and leaves.  The order is by frequency class,
+   then hash: shingles of many texts come last, so passages that many texts
+   share seldom bring them together.
 3. Texts that share such a shingle meet in its list.  A signature tree over the
    list prunes: a node holds the range of its set sizes and the OR of its token
    bitmaps, and a pair of nodes is left out when the bits that both have are
@@ -45,13 +47,16 @@ WORDS = 5
 PERCENT = 80
 #: A shingle in more than this share of the texts is frequent (which only orders shingles).
 FREQUENT = 0.0005
-#: Buckets of a bitmap in lists, and texts of one batch in which shingles are counted.
-BUCKETS = 64
+#: Share of a set's shingles, in per cent, that its first ones hold beyond the least number.
+EXTRA = 5
+#: Least and most buckets of a bitmap in lists; twice as many for twice the shingles from 16 a bucket on.
+BUCKETS = (64, 2048)
+#: Texts of one batch in which shingles are counted.
 BATCH = 8000
 #: Bytes of postings for a task, of sets for a task, and of sets in a block of a split component.
 LIST_BYTES = 8 << 20
 SET_BYTES = 12 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 BROADCAST_IDS = 1_000_000
 
 POSTING = np.dtype([("shingle", "<u8"), ("key", "<i8")])
@@ -82,7 +87,22 @@ def set_key(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def heights(found: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def buckets_of(n: int) -> int:
+    least, most = BUCKETS
+    return min(most, least << max(0, (n - 1).bit_length() - 10))
+
+
+def first_ones(n: int, percent: int = PERCENT) -> int:
+    """How many of a set's shingles are looked up."""
+    return n * (100 - percent) // 100 + 1 + n * EXTRA // 100
+
+
+def least_shared(n: str, percent: int = PERCENT) -> str:
+    """SQL: how many of them a set with links finds again.  The other set has percent of n shingles at least."""
+    return f"({n} * {EXTRA * percent} div 10000 + 1)"
+
+
+def heights(found: np.ndarray, buckets: int) -> np.ndarray:
     """Bits taken in each bucket of a set's bitmap, at most 255; further shingles of a bucket are counted by the size alone."""
     return np.minimum(np.bincount((found >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets), 255).astype(np.uint8)
 
@@ -207,7 +227,7 @@ def _measure(words: int, share: float):
                 out[0].append(doc)
                 out[1].append(len(found))
                 out[2].append(key)
-                out[3].append(heights(found).tobytes())
+                out[3].append(heights(found, buckets_of(len(found))).tobytes())
                 if key is not None and key not in seen:
                     seen.add(key)
                     sets.append(found)
@@ -250,7 +270,7 @@ def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
                     at = np.searchsorted(frequent, found)
                     often = frequent[np.minimum(at, len(frequent) - 1)] == found
                     found = np.concatenate((found[~often], found[often]))
-                found = found[: len(found) * (100 - percent) // 100 + 1]
+                found = found[: first_ones(len(found), percent)]
                 r = np.empty(len(found), POSTING)
                 r["shingle"], r["key"] = found, key
                 held.append(r)
@@ -265,7 +285,7 @@ def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """Postings of shingles that two sets have, and the sets' keys."""
+    """Postings of shingles that two sets have, and the sets' keys with their number of these."""
     r = np.frombuffer(b"".join(t.column("data").to_pylist()), POSTING)
     r = r[np.lexsort((r["key"], r["shingle"]))]
     new = np.ones(len(r), bool)
@@ -276,7 +296,9 @@ def _shared(t: pa.Table) -> pa.Table:
     group = np.cumsum(first) - 1
     r = r[np.bincount(group)[group] > 1] if len(r) else r
     part = t.column("part")[0].as_py()
-    return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([r.tobytes()], pa.binary()), "keys": pa.array([np.unique(r["key"]).tolist()], pa.list_(pa.int64()))})
+    keys, times = np.unique(r["key"], return_counts=True)
+    kind = pa.list_(pa.int64())
+    return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([r.tobytes()], pa.binary()), "keys": pa.array([keys.tolist()], kind), "times": pa.array([times.tolist()], kind)})
 
 
 def _forest(percent: int):
@@ -285,13 +307,23 @@ def _forest(percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         edges: list[tuple[int, int]] = []
         if len(left) and len(right):
-            r = np.frombuffer(b"".join(left.column("data").to_pylist()), POSTING)
-            keys = right.column("key").to_numpy()
-            keys, where = np.unique(keys, return_index=True)
+            keys, where = np.unique(right.column("key").to_numpy(), return_index=True)
             sizes = right.column("n").to_numpy()[where]
-            bits = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint8).reshape(len(right), -1)[where]
-            index = np.searchsorted(keys, r["key"])
-            bounds = np.concatenate(([0], np.flatnonzero(r["shingle"][1:] != r["shingle"][:-1]) + 1, [len(r)]))
+            blobs = right.column("bits").to_pylist()
+            width = np.array([len(b) for b in blobs])[where]
+            # Bitmaps of one width, with those of twice the width folded to it: links join no others.
+            bits, row = {}, {}
+            for w in np.unique(width).tolist():
+                chosen = np.flatnonzero((width == w) | (width == 2 * w))
+                folded = [np.frombuffer(blobs[where[i]], np.uint8).astype(np.uint16).reshape(-1, w).sum(axis=0) for i in chosen.tolist()]
+                bits[w] = np.minimum(np.stack(folded), 255).astype(np.uint8)
+                row[w] = np.zeros(len(keys), np.int64)
+                row[w][chosen] = np.arange(len(chosen))
+            r = np.frombuffer(b"".join(left.column("data").to_pylist()), POSTING)
+            index = np.minimum(np.searchsorted(keys, r["key"]), len(keys) - 1)
+            known = keys[index] == r["key"]  # others have left
+            r, index = r[known], index[known]
+            bounds = np.concatenate(([0], np.flatnonzero(r["shingle"][1:] != r["shingle"][:-1]) + 1, [len(r)])) if len(r) else np.zeros(1, np.int64)
             length = np.diff(bounds)
             forest = Forest(len(keys))
             # Lists of two or three at once, as arrays.
@@ -300,22 +332,28 @@ def _forest(percent: int):
                 at = bounds[:-1][length == n]
                 pairs += [np.stack((index[at + i], index[at + j]), axis=1) for i, j in steps]
             pair = np.unique(np.concatenate(pairs), axis=0)
-            spare = sizes - bits.sum(axis=1, dtype=np.int64)
-            for a in range(0, len(pair), 100_000):
-                x, y = pair[a : a + 100_000].T
-                most = np.minimum(bits[x], bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
-                small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-                ok = ((100 + percent) * most >= percent * (small + large)) & (100 * small >= percent * large)
-                edges += [(i, j) for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True) if forest.join(i, j)]
+            small, large = np.minimum(*sizes[pair].T), np.maximum(*sizes[pair].T)
+            pair = pair[100 * small >= percent * large]
+            for w, matrix in bits.items():
+                own = pair[np.minimum(*width[pair].T) == w]
+                for a in range(0, len(own), 20_000):
+                    x, y = own[a : a + 20_000].T
+                    bx, by = matrix[row[w][x]], matrix[row[w][y]]
+                    spare = np.minimum(sizes[x] - bx.sum(axis=1, dtype=np.int64), sizes[y] - by.sum(axis=1, dtype=np.int64))
+                    most = np.minimum(bx, by).sum(axis=1, dtype=np.int64) + spare
+                    ok = (100 + percent) * most >= percent * (sizes[x] + sizes[y])
+                    edges += [(i, j) for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True) if forest.join(i, j)]
             done: set[bytes] = set()
             for at in np.flatnonzero(length > 3).tolist():
                 ids = index[bounds[at] : bounds[at + 1]]
                 if ids.tobytes() in done:
                     continue
                 done.add(ids.tobytes())
-                if len({forest.find(i) for i in ids.tolist()}) > 1:
-                    tree = SignatureTree(sizes[ids], bits[ids], percent)
-                    edges += [(int(ids[x]), int(ids[y])) for x, y in tree.search(forest, ids, lambda x, y: True)]
+                for w in np.unique(width[ids]).tolist():
+                    near = ids[(width[ids] == w) | (width[ids] == 2 * w)]
+                    if len({forest.find(i) for i in near.tolist()}) > 1:
+                        tree = SignatureTree(sizes[near], bits[w][row[w][near]], percent)
+                        edges += [(int(near[x]), int(near[y])) for x, y in tree.search(forest, near, lambda x, y: True)]
             edges = [(int(keys[i]), int(keys[j])) for i, j in edges]
         a = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(a.min(axis=1) if len(a) else a[:, 0]), "b": pa.array(a.max(axis=1) if len(a) else a[:, 0])})
@@ -398,7 +436,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     facts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     facts = materialize(facts, "join-sets")
     total = facts.agg(F.count("*"), F.sum("n")).first()
-    texts, postings = total[0], (total[1] or 0) * (100 - percent) / 100 + total[0]
+    texts, postings = total[0], (total[1] or 0) * (100 - percent + EXTRA) / 100 + total[0]
     often = measured.filter("frequent IS NOT NULL").select(F.col("frequent").alias("data")).mapInArrow(_counts, "shingle long, n long")
     often = often.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > max(2, FREQUENT * texts))
     # At most (mean set size) / FREQUENT shingles can be in more than that share of the texts.
@@ -406,8 +444,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     parts = max(8, int(postings * POSTING.itemsize / LIST_BYTES) + 1)
     lists = docs.select("text").mapInArrow(_postings(words, percent, frequent, parts), "part int, data binary")
-    lists = materialize(lists.groupBy("part").applyInArrow(_shared, "part int, data binary, keys array<long>"), "join-lists")
-    met = lists.select(F.col("part").alias("list"), F.explode("keys").alias("key")).join(facts.select("key", "n", "bits"), "key")
+    lists = materialize(lists.groupBy("part").applyInArrow(_shared, "part int, data binary, keys array<long>, times array<long>"), "join-lists")
+    met = lists.select(F.col("part").alias("list"), F.explode(F.arrays_zip("keys", "times")).alias("k")).select("list", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
+    shared = met.groupBy("key").agg(F.sum("times").alias("shared")).join(facts.select("key", "n", "bits"), "key")
+    met = met.drop("times").join(shared.filter("shared >= " + least_shared("n", percent)).drop("shared"), "key")
     edges = lists.select("part", "data").groupBy("part").cogroup(met.groupBy("list")).applyInArrow(_forest(percent), "a long, b long")
     roots = materialize(components(edges, "join-possible"), "join-possible")
 
