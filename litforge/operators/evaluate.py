@@ -194,3 +194,67 @@ def verdict(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     for condition, name in rules[1:]:
         out = out.when(F.coalesce(condition, F.lit(False)), name)
     return out.otherwise(otherwise)
+
+
+def cas_verify(hyde: Column, shared_tokens: Column, cosine: Column) -> Column:
+    """Struct of whether a candidate's method coheres and its object differs."""
+    return F.struct(((hyde > 0) & (shared_tokens >= 2)).alias("method_coherence"), (cosine < 0.15).alias("object_difference"))
+
+
+def pruned(checks: Column, mode: str) -> Column:
+    """Whether a candidate goes: neither holds (conservative), either fails (aggressive), or the method fails (headline)."""
+    method, differs = checks["method_coherence"], checks["object_difference"]
+    return {"conservative": ~method & ~differs, "aggressive": ~method | ~differs, "headline": ~method}[mode]
+
+
+def prune_statistics(candidates: DataFrame) -> DataFrame:
+    """Per query: candidates, those pruned, and the share of one community; ``(query_id, pruned, same_community)``."""
+    return candidates.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if("pruned").alias("pruned"), F.avg(F.col("same_community").cast("double")).alias("same_share"))
+
+
+def cascade_recall(scores: DataFrame, truth: DataFrame, bar: float = 0.40) -> DataFrame:
+    """Recall at ten of all candidates and of those that pruning leaves, and whether the latter passes its bar.
+
+    ``scores(query_id, cand_id, score, pruned)``; a pruned truth is a miss.
+    """
+    whole = recall_and_mrr(ranked(scores), truth, (10,)).select(F.col("recall_10").alias("recall_all"))
+    left = recall_and_mrr(ranked(scores.filter("NOT pruned")), truth, (10,)).select(F.col("recall_10").alias("recall_pruned"))
+    depth = scores.groupBy("query_id").agg(F.count_if("pruned").alias("n")).agg(F.coalesce(F.min("n"), F.lit(0)).alias("least_pruned"))
+    out = whole.join(left).join(depth)
+    return out.withColumn("passes", (F.col("recall_pruned") > bar) & (F.col("least_pruned") >= 2))
+
+
+def objective_cards(pairs: DataFrame) -> DataFrame:
+    """Queries whose true partner of another field beats the median of their own field by more than 0.02.
+
+    ``pairs(query_id, cand_id, cosine, same_field, is_true)``.
+    """
+    facts = pairs.groupBy("query_id").agg(F.median(F.when(F.col("same_field") & ~F.col("is_true"), F.col("cosine"))).alias("middle"), F.max(F.when(F.col("is_true"), F.col("cosine"))).alias("cosine"), F.bool_or(F.col("is_true") & ~F.col("same_field")).alias("crosses"))
+    return facts.withColumn("card", F.coalesce(F.col("crosses") & (F.col("cosine") > F.col("middle") + 0.02), F.lit(False)))
+
+
+def separability(pairs: DataFrame, papers: DataFrame) -> DataFrame:
+    """Whether methods and objects come apart: ``pairs(method_cosine, object_cosine)``, ``papers(cosine)`` within each."""
+    n = pairs.agg(F.count_if(F.col("method_cosine") > F.col("object_cosine")).alias("pairs"))
+    m = papers.agg(F.avg("cosine").alias("within"))
+    return n.join(m).withColumn("separable", (F.col("pairs") >= 3) & (F.col("within") < 0.85))
+
+
+def mine_pairs(references: DataFrame) -> DataFrame:
+    """A pair of papers of the two most cited fields of each bridge paper.
+
+    ``references(bridge, paper, field)``: fields by count then name, the first
+    paper by id for each.  Uniqueness is greedy in order of bridge, so the
+    per-bridge pairs, one row each, are walked in order on the driver.
+    """
+    fields = references.groupBy("bridge", "field").agg(F.countDistinct("paper").alias("n"), F.min("paper").alias("paper"))
+    order = Window.partitionBy("bridge").orderBy(F.desc("n"), "field")
+    two = fields.withColumn("place", F.row_number().over(order)).filter("place <= 2")
+    pairs = two.groupBy("bridge").agg(F.min_by("paper", "place").alias("side_a"), F.max_by("paper", "place").alias("side_b"), F.count("*").alias("n")).filter("n = 2").drop("n")
+    used: set = set()
+    kept = []
+    for r in pairs.orderBy("bridge").toLocalIterator():
+        if r.side_a not in used and r.side_b not in used:
+            used |= {r.side_a, r.side_b}
+            kept.append((r.bridge, r.side_a, r.side_b))
+    return references.sparkSession.createDataFrame(kept, pairs.schema)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cluster_count(n: int) -> int:
@@ -98,3 +99,21 @@ def layouts(edges: DataFrame, ticks: int = 300) -> DataFrame:
         return pd.DataFrame({"graph": g["graph"].iloc[0], "id": names, "x": x[:, 0], "y": x[:, 1]})
 
     return edges.groupBy("graph").applyInPandas(run, f"graph {kinds['graph']}, id {kinds['src']}, x double, y double")
+
+
+def cluster_keywords(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Strongest keyword of each cluster by summed score, ties to the smaller word; ``keywords(id, keyword, score)``."""
+    sums = clusters.join(keywords, "id").groupBy("graph", "cluster", "keyword").agg(F.sum("score").alias("score"))
+    best = F.min_by("keyword", F.struct(-F.col("score"), F.col("keyword")))
+    return sums.groupBy("graph", "cluster").agg(best.alias("keyword"))
+
+
+def hulls(points: DataFrame) -> DataFrame:
+    """``(graph, cluster, corners)`` of ``points(graph, cluster, x, y)``."""
+    kinds = dict(points.dtypes)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        corners = [{"x": x, "y": y} for x, y in convex_hull(list(zip(g["x"], g["y"], strict=True)))]
+        return pd.DataFrame([(g["graph"].iloc[0], g["cluster"].iloc[0], corners)], columns=["graph", "cluster", "corners"])
+
+    return points.groupBy("graph", "cluster").applyInPandas(run, f"graph {kinds['graph']}, cluster {kinds['cluster']}, corners array<struct<x:double,y:double>>")

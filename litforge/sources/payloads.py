@@ -173,3 +173,22 @@ def sections(pages: DataFrame) -> DataFrame:
     out = rows.groupBy("id").agg(*texts)
     others = [F.col(k) for k in T.SECTION_WEIGHTS if k != "abstract"]
     return pages.select(F.col("id").cast("string")).join(out, "id", "left").withColumn("is_partial", F.coalesce(*others).isNull()).withColumn("n_sections", sum((F.col(k).isNotNull().cast("int") for k in T.SECTION_WEIGHTS), F.lit(0)))
+
+
+ANNOTATION = "paper_type string, methods array<struct<name:string,category:string,source_section:string,source_snippet:string>>, findings array<struct<text:string,strength:string,source_section:string,source_snippet:string>>, open_problems array<string>"
+
+
+def annotations(answers: DataFrame, ask=None) -> DataFrame:
+    """Parsed model answers ``(id, prompt, answer)``; an answer without the four fields is asked for once more.
+
+    ``ask``: a pandas UDF from prompt to answer.  Rows that still don't parse go.
+    """
+    sound = lambda c: F.from_json(c, ANNOTATION)
+    whole = lambda a: a["paper_type"].isNotNull() & a["methods"].isNotNull() & a["findings"].isNotNull() & a["open_problems"].isNotNull()
+    rows = answers.withColumn("a", sound("answer"))
+    good = rows.filter(whole(F.col("a")))
+    if ask is not None:
+        bad = rows.filter(~F.coalesce(whole(F.col("a")), F.lit(False)))
+        again = bad.withColumn("answer", ask(F.concat(F.col("prompt"), F.lit("\nReturn only valid JSON."))))
+        good = good.unionByName(again.withColumn("a", sound("answer")).filter(whole(F.col("a"))))
+    return good.select("id", "a.*")

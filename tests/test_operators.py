@@ -166,3 +166,30 @@ def test_expressions(spark):
     assert tuple(got[0]) == (4.0, 2.0, False) and got[1][1:] == (3.0, True)
     long = spark.createDataFrame([("x" * 61,), ("x" * 60,)], "t string").select(F.length(relational.shortened(F.col("t")))).collect()
     assert [r[0] for r in long] == [60, 60]
+
+
+def test_verification_and_mining(spark):
+    s = spark.createDataFrame([(1, 10, 0.9, False), (1, 11, 0.8, True), (1, 12, 0.7, True), (2, 10, 0.1, True), (2, 11, 0.2, True), (2, 12, 0.3, False)], "query_id int, cand_id int, score double, pruned boolean")
+    truth = spark.createDataFrame([(1, 10), (2, 10)], "query_id int, cand_id int")
+    r = evaluate.cascade_recall(s, truth).first()
+    assert (r.recall_all, r.recall_pruned, r.passes) == (1.0, 0.5, True)
+    c = spark.range(1).select(evaluate.cas_verify(F.lit(0.2), F.lit(2), F.lit(0.3)).alias("c"))
+    got = c.select(*[evaluate.pruned(F.col("c"), m) for m in ("conservative", "aggressive", "headline")]).first()
+    assert tuple(got) == (False, True, False)
+    refs = spark.createDataFrame([("b1", "p1", "x"), ("b1", "p2", "x"), ("b1", "p3", "y"), ("b2", "p1", "x"), ("b2", "p4", "z"), ("b3", "p9", "x")], "bridge string, paper string, field string")
+    assert rows(evaluate.mine_pairs(refs), "bridge") == [("b1", "p1", "p3")]
+    cards = spark.createDataFrame([(1, 2, 0.5, False, True), (1, 3, 0.4, True, False), (2, 3, 0.41, False, True), (2, 4, 0.4, True, False)], "query_id int, cand_id int, cosine double, same_field boolean, is_true boolean")
+    assert {r.query_id: r.card for r in evaluate.objective_cards(cards).collect()} == {1: True, 2: False}
+
+
+def test_annotations_and_clusters(spark):
+    from litforge.sources import payloads
+
+    good = '{"paper_type":"review","methods":[],"findings":[],"open_problems":["p"]}'
+    a = spark.createDataFrame([(1, "q", good), (2, "q", "not json"), (3, "q", '{"paper_type":"x"}')], "id int, prompt string, answer string")
+    assert rows(payloads.annotations(a).select("id"), "id") == [(1,)]
+    ask = F.pandas_udf(lambda s: pd.Series([good] * len(s)), "string")
+    assert payloads.annotations(a, ask).count() == 3
+    c = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 3, 1)], "graph int, id int, cluster long")
+    k = spark.createDataFrame([(1, "b", 1.0), (2, "a", 0.5), (2, "b", 0.1), (3, "a", 1.0), (3, "c", 1.0)], "id int, keyword string, score double")
+    assert rows(layout.cluster_keywords(c, k), "cluster") == [(1, 0, "b"), (1, 1, "a")]
