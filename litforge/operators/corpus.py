@@ -29,7 +29,7 @@ def tfidf(tf: DataFrame, documents: int) -> DataFrame:
 
 
 def top_terms(weights: DataFrame, n: int = 5, key: str = "doc_id") -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.desc("weight"), "term")
+    order = Window.partitionBy(key).orderBy(F.desc(T.rounded(F.col("weight"), 9)), "term")  # equal but for the order of summing is equal
     return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litforge.functions.text import rounded
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` replacing those of equal keys; of repeated new keys, the last by all columns."""
@@ -109,7 +111,7 @@ def dashboard(papers: DataFrame, gaps: DataFrame, problems: DataFrame, with_meth
 def keyword_variance(top: DataFrame, n: int = 8) -> DataFrame:
     """Terms whose scores in the documents' top lists vary most; two or more values are needed."""
     v = top.groupBy("term").agg(F.count("*").alias("n"), F.var_pop("weight").alias("variance")).filter("n >= 2")
-    ranked = v.withColumn("slot_index", F.row_number().over(Window.orderBy(F.desc("variance"), "term")) - 1)
+    ranked = v.withColumn("slot_index", F.row_number().over(Window.orderBy(F.desc(rounded(F.col("variance"), 9)), "term")) - 1)
     return ranked.filter(F.col("slot_index") < n).select("slot_index", "term", "variance")
 
 

@@ -42,7 +42,7 @@ TF_SQL = (
 )
 R_SQL = "floor({0} * 1e6 + 0.5) / 1e6"
 r_sql = R_SQL.format
-TOP_SQL = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM weights) WHERE rank <= 5)"
+TOP_SQL = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY floor(weight * 1e9 + 0.5) DESC, term) AS rank FROM weights) WHERE rank <= 5)"
 
 
 @register("tfidf_top_terms", f"WITH {TF_SQL}, {TOP_SQL} SELECT doc_id, rank::INTEGER AS rank, term, {r_sql('weight')} AS weight FROM top")
