@@ -54,7 +54,7 @@ BUCKETS = (64, 2048)
 #: Texts of one batch in which shingles are counted.
 BATCH = 8000
 #: Bytes of postings for a task, of sets for a task, and of sets in a block of a split component.
-LIST_BYTES = 8 << 20
+LIST_BYTES = 2 << 20
 SET_BYTES = 12 << 20
 BLOCK_BYTES = 24 << 20
 BROADCAST_IDS = 1_000_000
@@ -134,7 +134,7 @@ class Forest:
 class SignatureTree:
     """Sizes and bitmaps of sets, OR-combined bottom-up; searched against itself."""
 
-    LEAF = 8
+    LEAF = 32
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, percent: int = PERCENT):
         self.percent = percent
