@@ -483,13 +483,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest doc_id, with its columns."""
-    groups = near_duplicates(docs, words, percent)
+    """One row of each group of near duplicates, that of the smallest doc_id, with its columns.
+
+    Of rows that repeat both doc_id and text one stays.  Rows without a doc_id
+    all stay, as nothing tells them apart.
+    """
+    groups = materialize(near_duplicates(docs, words, percent), "join-groups")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialize(gone, "join-gone")
-    small = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
