@@ -176,11 +176,11 @@ def extract(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> s
     """The main text of a page; ``low`` has the codes of its host's paths of low importance."""
     blocks, _ = parse(html)
     blocks = [b for b in blocks if not b[2]]
+    if low:
+        # Inside article and main too; never empties a page.
+        blocks = [b for b in blocks if not any(zlib.crc32(p.encode()) in low for p in b[1])] or blocks
     if any(b[3] for b in blocks):
         blocks = [b for b in blocks if b[3]]
-    elif low:
-        # Without a word on where the article is, importance decides; it never empties a page.
-        blocks = [b for b in blocks if not any(zlib.crc32(p.encode()) in low for p in b[1])] or blocks
     return "\n".join(b[0] for b in blocks)
 
 

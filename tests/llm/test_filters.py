@@ -126,6 +126,16 @@ def test_style_tree_removes_boilerplate(spark, folder):
     assert got[100].text == "" and got[101].text == "one" and got[102].n_chars == 0
 
 
+def test_style_tree_removes_boilerplate_in_articles(spark, folder):
+    words = lambda i: f"{' '.join(rng.choices('abcdefgh', k=9))} {i}"
+    page = lambda i: f"<html><body><article><div class=strip>Send this to a friend</div><p>{words(i)}</p><div class=strip>All views are their authors' own</div></article></body></html>"
+    rows = [(i, "http://h.example/x", page(i)) for i in range(40)] + [(50 + i, "http://same.example", "<body><main><p>Always this</p></main></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.op9_html_extraction(spark, folder(spark.createDataFrame(rows, "page_id long, url string, html string"), "pages")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].endswith(f" {i}") and "friend" not in got[i] and "views" not in got[i] for i in range(40))
+    assert all(got[50 + i] == "Always this" for i in range(20))
+
+
 def test_quality_sql(spark, documents, folder):
     rows = [(i, t, f"h{i % 3}") for i, t in enumerate(QUALITY[:-1])]
     d = folder(documents(rows), "documents")
