@@ -24,6 +24,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return table_queries.citations(spark, d).select("src", "dst")
 
 
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The whole graph, for queries without a SQL twin."""
+    return table_queries.all_citations(spark, d).select("src", "dst")
+
+
 @register("bfs_depth", f"WITH RECURSIVE {CITES_SQL}, e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM cites UNION ALL SELECT dst, src FROM cites)), r(id, depth) USING KEY (id) AS (SELECT (SELECT min(src) FROM cites) AS id, 0 AS depth UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r AS seen ON seen.id = e.dst WHERE seen.id IS NULL GROUP BY e.dst) SELECT id, depth::INTEGER AS depth FROM r")
 def bfs_depth(spark, d):
     e = edges(spark, d)
@@ -70,17 +75,17 @@ def pagerank(spark, d):
 
 @register("top_pagerank", None)
 def top_pagerank(spark, d):
-    return graph.pagerank(edges(spark, d), nodes(spark, d), 50).select("id", R(F.col("pagerank")).alias("pagerank")).orderBy(F.desc("pagerank"), "id").limit(20)
+    return graph.pagerank(all_edges(spark, d), nodes(spark, d), 50).select("id", R(F.col("pagerank")).alias("pagerank")).orderBy(F.desc("pagerank"), "id").limit(20)
 
 
 @register("betweenness", None)
 def betweenness(spark, d):
-    return graph.betweenness(edges(spark, d), nodes(spark, d)).select("id", R(F.col("betweenness")).alias("betweenness"))
+    return graph.betweenness(all_edges(spark, d), nodes(spark, d)).select("id", R(F.col("betweenness")).alias("betweenness"))
 
 
 @register("communities", None)
 def communities(spark, d):
-    return graph.communities(edges(spark, d), nodes(spark, d))
+    return graph.communities(all_edges(spark, d), nodes(spark, d))
 
 
 MEMBERS_SQL = "m AS (SELECT p_partkey AS id, p_partkey % 7 AS community_id FROM part)"
@@ -131,7 +136,7 @@ def graph_export(spark, d):
 
 @register("graph_metrics", None)
 def graph_metrics(spark, d):
-    out = graph.metrics(edges(spark, d), nodes(spark, d), 10)
+    out = graph.metrics(all_edges(spark, d), nodes(spark, d), 10)
     return out.select("id", R(F.col("pagerank")).alias("pagerank"), R(F.col("betweenness")).alias("betweenness"))
 
 
@@ -205,7 +210,7 @@ def force_layout(spark, d):
 
 @register("crawl", None)
 def crawl(spark, d):
-    e = edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    e = all_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     seed = e.agg(F.min("src")).first()[0]
     return queue.crawl(e, nodes(spark, d).select(F.col("id").cast("string").alias("id")), seed, 3)[0].select("paper_id", "depth_level", "status", "retry_count")
 

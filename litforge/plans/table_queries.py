@@ -17,13 +17,18 @@ def r_sql(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
-def citations(spark: SparkSession, d: str) -> DataFrame:
-    """Edges (src, dst, n): the part on an order's line cites that on the next, in every twentieth order."""
-    lines = table(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+def all_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Edges (src, dst, l_orderkey): the part on an order's line cites that on the next."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), "l_orderkey").filter("dst IS NOT NULL")
 
 
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    """Those of every twentieth order only, as in ``CITES_SQL``: for queries that have a SQL twin."""
+    return all_citations(spark, d).filter("l_orderkey % 20 = 0")
+
+
 CITES_SQL = "cites AS (SELECT src, dst, l_orderkey FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_orderkey FROM lineitem WHERE l_orderkey % 20 = 0) WHERE dst IS NOT NULL)"
 
 
