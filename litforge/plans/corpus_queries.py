@@ -1,4 +1,4 @@
-"""Text queries: documents are papers, their first five lines the sections."""
+"""Text queries: documents are papers, their lines the sections."""
 
 from __future__ import annotations
 
@@ -18,13 +18,14 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
 
 
-def sections(spark: SparkSession, d: str) -> DataFrame:
-    lines = docs(spark, d).select("doc_id", "source", F.split("text", "\n", 6).alias("l"))
+def sections(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """A line a section; the last has the rest of the text too if ``whole``, which the SQL twins leave out."""
+    lines = docs(spark, d).select("doc_id", "source", F.split("text", "\n", 5 if whole else 6).alias("l"))
     return lines.select("doc_id", "source", *[F.get("l", F.lit(i)).alias(s) for i, s in enumerate(SECTIONS)])
 
 
-def weights(spark: SparkSession, d: str) -> DataFrame:
-    s = sections(spark, d)
+def weights(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    s = sections(spark, d, whole)
     return corpus.tfidf(corpus.section_tf(s), s.count())
 
 
@@ -191,7 +192,7 @@ def class_tfidf_terms(spark, d):
 
 @register("community_labels", None)
 def community_labels(spark, d):
-    s = sections(spark, d)
+    s = sections(spark, d, whole=True)
     terms = corpus.class_tfidf(corpus.section_tf(s), s.select("doc_id", F.col("source").alias("community_id")), 10)
     return corpus.community_label(terms)
 
@@ -239,7 +240,7 @@ def average_keywords(spark, d):
 
 @register("prompt_lengths", None)
 def prompt_lengths(spark, d):
-    s = sections(spark, d)
+    s = sections(spark, d, whole=True)
     return s.select("doc_id", F.sha2(T.prompt_sections({k: F.col(k) for k in SECTIONS}, 300), 256).alias("prompt_sha"))
 
 

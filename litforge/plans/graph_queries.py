@@ -114,7 +114,7 @@ def shared_in_community(spark, d):
 
 def small_parts(spark, d):
     """Sections and edges of documents, linked to half their id."""
-    s = corpus_queries.sections(spark, d)
+    s = corpus_queries.sections(spark, d, whole=True)
     e = s.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"))
     return s, e, s.select(F.col("doc_id").alias("id"))
 
@@ -131,7 +131,7 @@ def community_summary(spark, d):
 def graph_export(spark, d):
     s, e, n = small_parts(spark, d)
     m = s.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(6)).alias("community_id"))
-    return graph.export_graph(m, corpus.top_terms(corpus_queries.weights(spark, d), 5), e, "corpus")
+    return graph.export_graph(m, corpus.top_terms(corpus_queries.weights(spark, d, whole=True), 5), e, "corpus")
 
 
 @register("graph_metrics", None)

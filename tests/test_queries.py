@@ -1,8 +1,10 @@
 """Registered queries without a SQL twin, on small tables."""
 
+import hashlib
+
 import pytest
 
-from litforge.plans import graph_queries
+from litforge.plans import corpus_queries, graph_queries
 
 
 @pytest.fixture
@@ -25,3 +27,15 @@ def test_all_orders_cite(spark, citing):
     assert {(r.paper_id, r.depth_level) for r in graph_queries.crawl(spark, citing).collect()} == {("1", 0), ("2", 1), ("3", 2), ("4", 3), ("5", 4)}
     found = {r.id: r.community_id for r in graph_queries.communities(spark, citing).collect()}
     assert found[1] == found[2] and found[1] < graph_queries.graph.OTHER
+
+
+def test_sections_hold_whole_texts(spark, tmp_path):
+    text = "alpha\n\n\n\n\nzeppelin zeppelin"
+    spark.createDataFrame([(1, text, "en", "src"), (2, "alpha", "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    labels = corpus_queries.community_labels(spark, d).collect()
+    assert any("zeppelin" in str(r) for r in labels)
+    assert any("zeppelin" in r.json for r in graph_queries.graph_export(spark, d).collect())
+    assert any("zeppelin" in r.keywords for r in graph_queries.community_summary(spark, d).collect())
+    want = "\n\n".join(f"## {k}\n{v}" for k, v in zip(corpus_queries.SECTIONS, ["alpha", "[EMPTY]", "[EMPTY]", "[EMPTY]", "\nzeppelin zeppelin"], strict=True))
+    assert {r.doc_id: r.prompt_sha for r in corpus_queries.prompt_lengths(spark, d).collect()}[1] == hashlib.sha256(want.encode()).hexdigest()
