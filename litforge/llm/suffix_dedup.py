@@ -10,8 +10,9 @@ goes.  The corpus is cut into shards such that equal strings meet:
 2. Marks are dealt to buckets as packed records; only runs whose mark occurs
    again stay.  That loses nothing: a repeated window has a repeated mark.
 3. The bytes of these runs go to the shard of their mark.  Equal contents are
-   held once; a shard's suffixes are sorted by external induced sorting, and
-   neighbours in that order that agree for LENGTH bytes are repeated starts.
+   held once; a shard's suffixes are sorted by induced sorting, and neighbours
+   in that order that agree for LENGTH bytes are repeated starts.  A shard must
+   fit in memory, and all runs of one mark are in one shard.
 4. Starts become spans of their texts, which are cut.
 
 Texts are known by a 64-bit hash, so copies are marked by counting alone: copies

@@ -1,4 +1,4 @@
-"""External induced sorting of the suffixes of a shard.
+"""Induced sorting of the suffixes of a shard.
 
 The suffixes that begin at local minima (an S-type character after an L-type
 one) are named by a first induction, sorted by recursion on their names, and
@@ -8,7 +8,8 @@ S-type ones in descending order of their first character.
 A sweep is driven by a monotone priority queue of suffix tuples keyed by first
 character; equal keys leave in the order in which they came.  Tuples enter and
 leave in bulk as arrays, and a queue beyond its memory moves its largest buckets
-to disk, so the tuples of a shard needn't fit in memory.
+to disk.  The text, its types and the orders of both sweeps are arrays in memory:
+a shard must fit.
 
 Order is kept up to ``DEPTH`` names of the recursion, which is more than 2 * DEPTH
 characters; suffixes that agree for longer may stand in either order.
