@@ -141,16 +141,22 @@ def graph_metrics(spark, d):
 
 
 def ladder_graphs(spark, d):
-    """Small graphs of customers: the first forty of each nation in two rings with one bridge."""
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("graph"), "c_custkey")
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy("c_custkey")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("graph")))
-    half = F.floor(F.least(F.col("size"), F.lit(40)) / 2)
-    inner = c.filter("n < 40").withColumn("half", half)
-    ring = inner.select("graph", F.col("n").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "half").filter("half > 2")
-    step = F.when(F.col("src") < F.col("half"), (F.col("src") + F.col("k")) % F.col("half")).otherwise(F.col("half") + (F.col("src") - F.col("half") + F.col("k")) % F.col("half"))
-    out = ring.filter(F.col("src") < 2 * F.col("half")).select("graph", F.col("src").cast("bigint").alias("src"), step.cast("bigint").alias("dst"))
-    bridge = inner.filter("n = 0 AND half > 2").select("graph", F.lit(0).cast("bigint").alias("src"), F.col("half").cast("bigint").alias("dst"))
-    return out.unionByName(bridge)
+    """Small graphs of all customers: those of a nation in blocks of up to forty, each in two rings with one bridge.
+
+    A customer who is the only one of a nation has no edge and so stands in no graph.
+    """
+    nation = Window.partitionBy("c_nationkey")
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey")
+    c = c.withColumn("n", F.row_number().over(nation.orderBy("c_custkey")) - 1).withColumn("all", F.count("*").over(nation))
+    blocks = F.ceil(F.col("all") / 40)
+    c = c.select(F.concat_ws("/", "c_nationkey", (F.col("n") % blocks).cast("string")).alias("graph"), F.floor(F.col("n") / blocks).alias("n"))
+    c = c.withColumn("size", F.count("*").over(Window.partitionBy("graph"))).withColumn("half", F.floor(F.col("size") / 2))
+    first = F.when(F.col("n") < F.col("half"), F.lit(0)).otherwise(F.col("half"))
+    length = F.when(F.col("n") < F.col("half"), F.col("half")).otherwise(F.col("size") - F.col("half"))
+    ring = c.select("graph", F.col("n").alias("src"), first.alias("first"), length.alias("length"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    ring = ring.select("graph", "src", (F.col("first") + (F.col("src") - F.col("first") + F.col("k")) % F.col("length")).alias("dst")).filter("src <> dst").distinct()
+    bridge = c.filter("n = 0 AND half > 0").select("graph", F.lit(0).cast("bigint").alias("src"), F.col("half").alias("dst"))
+    return ring.unionByName(bridge)
 
 
 @register("kuramoto_bridges", None)
@@ -190,8 +196,8 @@ def raf_bridges(spark, d):
 @register("structure_scores", None)
 def structure_scores(spark, d):
     """Relations of customers' orders matched between customers of one nation that follow each other."""
-    o = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select("o_custkey", F.struct(F.lit("c").alias("src"), F.col("o_orderpriority").alias("dst"), F.col("o_orderstatus").alias("type")).alias("rel"))
-    rel = o.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_set("rel")), 1, 5).alias("a")).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    o = table(spark, d, "orders").select("o_custkey", F.struct(F.lit("c").alias("src"), F.col("o_orderpriority").alias("dst"), F.col("o_orderstatus").alias("type")).alias("rel"))
+    rel = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("rel")).alias("a")).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     w = Window.partitionBy("c_nationkey").orderBy("o_custkey")
     pairs = rel.select(F.col("o_custkey").alias("query_id"), F.lead("o_custkey").over(w).alias("cand_id"), "a", F.lead("a").over(w).alias("b")).filter("b IS NOT NULL")
     return detectors.structure_scores(pairs)

@@ -39,3 +39,41 @@ def test_sections_hold_whole_texts(spark, tmp_path):
     assert any("zeppelin" in r.keywords for r in graph_queries.community_summary(spark, d).collect())
     want = "\n\n".join(f"## {k}\n{v}" for k, v in zip(corpus_queries.SECTIONS, ["alpha", "[EMPTY]", "[EMPTY]", "[EMPTY]", "\nzeppelin zeppelin"], strict=True))
     assert {r.doc_id: r.prompt_sha for r in corpus_queries.prompt_lengths(spark, d).collect()}[1] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_ladders_hold_all_customers(spark, tmp_path):
+    sizes = {1: 95, 2: 41, 3: 40, 4: 7, 5: 3, 6: 2}
+    rows = [(100 * n + i, n) for n, m in sizes.items() for i in range(m)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found: dict = {}
+    for r in graph_queries.ladder_graphs(spark, str(tmp_path)).collect():
+        assert r.src != r.dst
+        found.setdefault(r.graph, []).append((r.src, r.dst))
+    held: dict = {}
+    for g, edges in found.items():
+        ids = {i for e in edges for i in e}
+        assert ids == set(range(len(ids))) and len(ids) <= 40 and len(edges) == len(set(edges))
+        half = len(ids) // 2
+        assert [(a, b) for a, b in edges if (a < half) != (b < half)] == [(0, half)]
+        n = int(g.split("/")[0])
+        held[n] = held.get(n, 0) + len(ids)
+    assert held == sizes
+
+
+def test_all_relations_are_matched(spark, tmp_path):
+    kinds = [(p, s) for p in "12345" for s in "FO"]
+    orders = [(5 * i + 1, c, p, s) for c in (1, 2) for i, (p, s) in enumerate(kinds)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1), (2, 1)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = []
+
+    def score(pairs):
+        got.extend(pairs.collect())
+        return pairs
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph_queries.detectors, "structure_scores", score)
+        graph_queries.structure_scores(spark, str(tmp_path))
+    assert [(r.query_id, r.cand_id) for r in got] == [(1, 2)]
+    for rels in (got[0].a, got[0].b):
+        assert sorted((r.dst, r.type) for r in rels) == kinds
