@@ -241,7 +241,7 @@ def average_keywords(spark, d):
 @register("prompt_lengths", None)
 def prompt_lengths(spark, d):
     s = sections(spark, d, whole=True)
-    return s.select("doc_id", F.sha2(T.prompt_sections({k: F.col(k) for k in SECTIONS}, 300), 256).alias("prompt_sha"))
+    return s.select("doc_id", F.sha2(T.prompt_sections({k: F.col(k) for k in SECTIONS}), 256).alias("prompt_sha"))
 
 
 @register("tag_signatures", "WITH t AS (SELECT DISTINCT doc_id, unnest([lang, source]) AS tag FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), df AS (SELECT tag, count(*) AS df FROM t GROUP BY tag) SELECT tag, df, floor((ln((1.0 + n) / (1 + df)) + 1) * 1e6 + 0.5) / 1e6 AS idf FROM df, n")

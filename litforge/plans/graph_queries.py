@@ -123,7 +123,7 @@ def small_parts(spark, d):
 def community_summary(spark, d):
     s, e, n = small_parts(spark, d)
     m = s.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(6)).alias("community_id"))
-    out = graph.community_summary(m, graph.pagerank(e, n, 10), e, corpus.section_tf(s))
+    out = graph.community_summary(m, graph.pagerank(e, n), e, corpus.section_tf(s))
     return out.select("community_id", "color_index", "size", "label", F.array_join("keywords", ",").alias("keywords"), F.array_join(F.transform("top_papers", lambda x: x.cast("string")), ",").alias("top_papers"))
 
 
@@ -136,7 +136,7 @@ def graph_export(spark, d):
 
 @register("graph_metrics", None)
 def graph_metrics(spark, d):
-    out = graph.metrics(all_edges(spark, d), nodes(spark, d), 10)
+    out = graph.metrics(all_edges(spark, d), nodes(spark, d))
     return out.select("id", R(F.col("pagerank")).alias("pagerank"), R(F.col("betweenness")).alias("betweenness"))
 
 
@@ -210,7 +210,7 @@ def position_clusters(spark, d):
 
 @register("force_layout", None)
 def force_layout(spark, d):
-    out = layout.layouts(ladder_graphs(spark, d), 60)
+    out = layout.layouts(ladder_graphs(spark, d))
     return out.select("graph", "id", R(F.col("x"), 3).alias("x"), R(F.col("y"), 3).alias("y"))
 
 

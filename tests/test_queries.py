@@ -77,3 +77,18 @@ def test_all_relations_are_matched(spark, tmp_path):
     assert [(r.query_id, r.cand_id) for r in got] == [(1, 2)]
     for rels in (got[0].a, got[0].b):
         assert sorted((r.dst, r.type) for r in rels) == kinds
+
+
+def test_production_parameters(spark, citing, tmp_path):
+    edges = graph_queries.all_edges(spark, citing)
+    want = {r.id: r.pagerank for r in graph_queries.graph.pagerank(edges, graph_queries.nodes(spark, citing), 50).collect()}
+    got = {r.id: r.pagerank for r in graph_queries.graph_metrics(spark, citing).collect()}
+    assert got == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()}
+    text = "a" * 2999 + "\n" + "b" * 3001
+    spark.createDataFrame([(1, text, "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {"abstract": "a" * 2999, "introduction": "b" * 3000 + "[truncated]"}
+    want = "\n\n".join(f"## {k}\n{parts.get(k, '[EMPTY]')}" for k in corpus_queries.SECTIONS)
+    assert corpus_queries.prompt_lengths(spark, str(tmp_path)).first().prompt_sha == hashlib.sha256(want.encode()).hexdigest()
+    spark.createDataFrame([(i, 1) for i in range(9)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {r.id: (r.x, r.y) for r in graph_queries.layout.layouts(graph_queries.ladder_graphs(spark, str(tmp_path)), 300).collect()}
+    assert {r.id: (r.x, r.y) for r in graph_queries.force_layout(spark, str(tmp_path)).collect()} == {i: pytest.approx(p, abs=1e-3) for i, p in want.items()}
