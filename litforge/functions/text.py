@@ -135,7 +135,7 @@ def first_phrase(text: Column, phrases: list[str], width: int = 240) -> Column:
 
 
 # Function words that tell English.
-ENGLISH_WORDS = "the of and to in is that for with as are this by we on".split()
+ENGLISH_WORDS = "the of and to in a is for we that with are this as by".split()
 
 
 def looks_english(text: Column, share: float = 0.9, words: int = 5) -> Column:
