@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -110,32 +111,76 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside>Side</aside><footer>&copy;</footer></body></html>"""
 
 
-def test_extract():
-    assert html_extract.extract(PAGE).split("\n") == ["Title & more", "One two three four", "Five", "i", "j"]
-    assert html_extract.extract(None) == "" and html_extract.extract("plain  text") == "plain text"
-    assert html_extract.extract("<p>a <3 b</p><p>c<p") .startswith("a <3 b")
-    assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
+def extracted(spark, *htmls):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract_pages(pages).orderBy("page_id").collect()]
+
+
+def test_extract(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 10
+    steps = "".join(f"<div>s{i} " for i in range(2000))
+    first, *rest = extracted(spark, PAGE, None, "plain  text", "<p>a <3 b</p><p>c<p", deep, steps, "<nav>only</nav>", "<div class=comments><article>said</article></div><p>text <span hidden>no</span></p>")
+    assert first.split("\n") == ["Title & more", "One two three four", "Five", "i", "j"]
+    assert rest[:2] == ["", "plain text"] and rest[2].startswith("a <3 b") and rest[3] == "deep"
+    assert rest[4] == "\n".join(f"s{i}" for i in range(2000)) and rest[5:] == ["", "text"]
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def site(n, host="http://h.example/x"):
+    words = lambda k: " ".join(rng.choices("abcdefgh", k=k))
+    page = lambda i: f"<html><body><div class=top>Our great site</div><div class=box><p>{words(9)} {i}</p><div class=strip>Send this to a friend</div><p>{words(30)}</p>{'<ul><li>x<li>y</ul>' if i % 3 else ''}</div>tail {i % 2}</body></html>"
+    return [(i, host, page(i)) for i in range(n)]
 
 
 def test_style_tree_removes_boilerplate(spark, folder):
-    page = lambda i: f"<html><body><div class=top>Our great site</div><div class=box><p>{' '.join(rng.choices('abcdefgh', k=9))} {i}</p></div></body></html>"
-    rows = [(i, "http://h.example/x", page(i)) for i in range(40)] + [(100, None, None), (101, "http://other.example", "<p>one</p>"), (102, "http://other.example", "")]
-    got = {r.page_id: r for r in html_extract.op9_html_extraction(spark, folder(spark.createDataFrame(rows, "page_id long, url string, html string"), "pages")).collect()}
+    rows = [*site(40), (100, None, None), (101, "http://other.example", "<p>one</p>"), (102, "http://other.example", "")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, low string, host string")
+    got = {r.page_id: r for r in html_extract.op9_html_extraction(spark, folder(frame.unionByName(frame.filter("page_id = 7")), "pages")).collect()}
     assert len(got) == len(rows)
-    assert all("Our great site" not in got[i].text and got[i].text for i in range(40))
+    assert all("great" not in got[i].text and "friend" not in got[i].text and got[i].text for i in range(40))
     assert got[100].text == "" and got[101].text == "one" and got[102].n_chars == 0
+    kept = {r.page_id: r.text for r in html_extract.extract_pages(frame, low=0.0).collect()}  # without the tree's verdict all of it stays
+    assert all("Our great site" in kept[i] and "friend" in kept[i] for i in range(40))
 
 
 def test_style_tree_removes_boilerplate_in_articles(spark, folder):
     words = lambda i: f"{' '.join(rng.choices('abcdefgh', k=9))} {i}"
-    page = lambda i: f"<html><body><article><div class=strip>Send this to a friend</div><p>{words(i)}</p><div class=strip>All views are their authors' own</div></article></body></html>"
-    rows = [(i, "http://h.example/x", page(i)) for i in range(40)] + [(50 + i, "http://same.example", "<body><main><p>Always this</p></main></body>") for i in range(20)]
+    page = lambda i: f"<html><body><article><div class=strip>Send this to a friend</div><p>{words(i)}</p><div class=strip>All views are their authors' own</div></article><div>more {words(i)}</div></body></html>"
+    rows = [(i, "http://h.example/x", page(i)) for i in range(40)] + [(50 + i, "http://same.example", f"<body><main><p>Always this</p></main><!-- {i} --></body>") for i in range(20)]
     got = {r.page_id: r.text for r in html_extract.op9_html_extraction(spark, folder(spark.createDataFrame(rows, "page_id long, url string, html string"), "pages")).collect()}
     assert len(got) == len(rows)
-    assert all(got[i].endswith(f" {i}") and "friend" not in got[i] and "views" not in got[i] for i in range(40))
+    assert all(got[i].endswith(f" {i}") and not any(w in got[i] for w in ("friend", "views", "more")) for i in range(40))
     assert all(got[50 + i] == "Always this" for i in range(20))
 
 
+def brute_tree(rows):
+    """Importance of every path of every host, from dictionaries of all occurrences."""
+    seen = {}
+    for host, html in {(h, t) for _, h, t in rows}:
+        p = html_extract.parse(html)
+        for code, layout, content, size, flags in zip(p.code, p.layout, p.content, p.size, p.flags, strict=True):
+            seen.setdefault((host, code), []).append((layout, content, size, flags))
+    spread = lambda x: 1.0 if len(x) < 2 else -sum(c / len(x) * math.log(c / len(x)) for c in Counter(x).values()) / math.log(len(x))
+    out = {}
+    for (host, code), found in seen.items():
+        n = len(found)
+        share = lambda bit: sum(f[3] & bit > 0 for f in found) > n / 2  # noqa: B023, E731
+        entropy = spread([f[1] for f in found]) if share(4) else 0.9 * spread([f[1] for f in found]) + 0.1 * spread([f[0] for f in found])
+        evidence = (0.3 if share(1) else 1) * (0.4 if share(2) else 1)
+        mass = sum(f[2] for f in found) / max(1, sum(f[2] for f in seen[host, 0])) * n / (n + 8)
+        out[host, code] = (n, max(0.01, (n * entropy + 8) / (n + 8) * evidence) ** (1 - mass))
+    return out
+
+
+def test_style_tree_like_brute_force(spark):
+    rows = [*site(12, "http://a.example/1"), *site(25, "http://b.example/2"), *((200 + i, "http://a.example/9", PAGE + f"<p>{i % 3}") for i in range(9))]
+    parsed = html_extract.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).persist()
+    got = {(r.host, r.code): (r.n, r.importance) for r in html_extract.style_tree(parsed).collect()}
+    want = brute_tree([(i, u.split("/")[2], h) for i, u, h in rows])
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_quality_sql(spark, documents, folder):
     rows = [(i, t, f"h{i % 3}") for i, t in enumerate(QUALITY[:-1])]
     d = folder(documents(rows), "documents")
