@@ -54,12 +54,21 @@ def test_quality_like_brute_force(spark, documents, folder):
 
 
 def test_hosts(spark, documents):
-    good, bad = " ".join(f"w{i}" for i in range(80)), "short"
-    rows = [(i, good, "good") for i in range(60)] + [(100 + i, bad, "bad") for i in range(80)] + [(200, good, "bad"), (201, bad, "good"), (202, good, None)]
-    kept = quality.keep_good(documents(rows))
-    ids = {r.doc_id for r in kept.collect()}
-    assert ids == {*range(60), 202} and kept.columns == documents([]).columns
+    good = lambda i: " ".join(f"w{i}x{j}" for j in range(80))
+    noisy, lines = "## %% " * 60 + good(0), "one two three\n" * 30 + " ".join(f"q{j}" for j in range(60)) + "\n" + "a b\n" * 9
+    rows = [(1000 * h + i, good(i), f"good{h}") for h in range(12) for i in range(60)]
+    rows += [(20_000 + i, ["short", noisy, lines][h] if i % 10 else good(i), f"bad{h}") for h in range(3) for i in range(h * 200, h * 200 + 90)]
+    rows += [(30_000, good(1), None), (30_001, noisy, "good1"), (30_002, "short", "good2"), (30_003, good(2), "new"), (30_004, None, "good3"), (30_005, lines, None)]
+    docs = documents(rows).withColumn("host", F.lit("clash")).withColumn("failed", F.lit("clash")).withColumn("m", F.lit(1))
+    kept = quality.keep_good(docs)
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, h in rows if h and h.startswith("good") and i < 20_000} | {30_000, 30_003}
+    assert kept.columns == docs.columns
+    verdicts = {r.host: r for r in quality.host_verdicts(quality.measure(docs.select(F.col("source").alias("host"), "text"))).collect()}
+    assert {h for h, r in verdicts.items() if not r.host_ok} == {"bad0", "bad1", "bad2"} and 0 < verdicts["good5"].rate_symbols < 0.1
     assert quality.keep_good(documents([])).count() == 0
+    # Hosts that fail alike all stay.
+    alike = documents([(100 * h + i, "short" if i < 30 else good(i), f"h{h}") for h in range(8) for i in range(60)])
+    assert quality.keep_good(alike).count() == 8 * 30
 
 
 def test_fold():
