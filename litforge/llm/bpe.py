@@ -3,14 +3,17 @@
 A word is merged with a heap of (rank, position) over a doubly linked list of
 symbols: the best pair is popped, entries whose symbols have changed meanwhile
 are skipped, and the pairs on both sides of a merge are pushed.  That takes
-n log n steps for a word of n bytes.  Decoding joins vocabulary strings.
+n log n steps for a word of n bytes.  Decoding joins vocabulary strings.  Plain
+ASCII is lowered and cut into words here; elsewhere the vocabulary's own
+normalizer and pre-tokenizer do so, whose Unicode tables differ from Python's.
 
 Encoded words are remembered per worker up to CACHE entries; the memory is then
 emptied, so it stays bounded whatever the corpus.
 
 Cases: null text is empty and gives no ids; a text of any length is encoded
 whole; special tokens in a text are recognised as such; repeated rows give
-repeated results; other columns are dropped.
+repeated results; other columns are dropped, whatever their names; an empty table
+gives no rows; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from array import array
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from litforge.session import table
 
@@ -33,9 +36,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words and space-separated chunks remembered by a worker.
 CACHE = 400_000
 
-#: Unicode's White_Space, and the pattern of the vocabulary's pre-tokenizer.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII's white space, and the pattern of the vocabulary's pre-tokenizer for ASCII.
+WHITE = "\t\n\x0b\x0c\r "
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 
 
 def byte_letters() -> list[str]:
@@ -73,19 +76,26 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.suffix = model["end_of_word_suffix"]
-        self.letters = byte_letters()
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.pieces = regex.compile(WORD)
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.pieces = re.compile(WORD, re.ASCII)
         self.blank = {ord(c): " " for c in WHITE}
-        self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = Memory(self.merge)
-        self.chunks = Memory(lambda chunk: b"".join(map(self.words.__getitem__, self.pieces.findall(chunk))))
+        self.chunks = Memory(self.chunk)
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between two blanks."""
+        if chunk.isascii() and chunk.isprintable():
+            return b"".join(map(self.words.__getitem__, self.pieces.findall(chunk)))
+        return b"".join(self.words[word] for word, _ in self.split(chunk))
 
     def merge(self, word: str) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers."""
-        symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        """Ids of a word of byte letters as little-endian unsigned 32-bit integers."""
+        symbols = list(word)
         symbols[-1] += self.suffix
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
         n, merges = len(ids), self.merges
@@ -108,10 +118,8 @@ class WordBpe:
         return array("I", [i for i in ids if i >= 0]).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            # Each letter is lowered by itself, so a sigma that ends a word stays a plain one.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return b"".join(map(self.chunks.__getitem__, filter(None, text.lower().translate(self.blank).split(" "))))
+        plain = text.lower().translate(self.blank) if text.isascii() else self.normalize(text)
+        return b"".join(map(self.chunks.__getitem__, filter(None, plain.split(" "))))
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:

@@ -36,6 +36,16 @@ def test_bpe_like_the_library(spark, documents, folder, libraries):
     assert rows[0].ids == t.encode("the thing", add_special_tokens=False).ids
 
 
+def test_every_code_point_like_the_library(libraries):
+    t, mine = libraries["word_bpe_49k.json"], bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    points = [*range(0x3100), *(rng.randrange(0x3100, 0x110000) for _ in range(6000)), 0x088F, 0x1C89, 0xA7CB, 0x1F130]
+    for c in points:
+        if not 0xD800 <= c < 0xE000:
+            text = f"a{chr(c)}b {chr(c)}"
+            assert mine.encode(text) == t.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 def test_bpe_empty_table(spark, documents):
     assert bpe.encode_table(documents([])).count() == 0
 
