@@ -3,9 +3,9 @@
 Texts are folded (compatibility forms, case, look-alike letters, digits and
 signs that stand for letters) and searched with an Aho-Corasick automaton for
 the stems of a lexicon, which match where a word begins.  A hit inside an
-exception phrase doesn't count.  The weights of the distinct hits, as a sum, at
-their largest and in proportion to the text's length, give a probability by a
-logistic curve.
+exception phrase doesn't count.  The weights of the distinct words so found, as a
+sum, at their largest and in proportion to the text's length, give a probability
+by a logistic curve.
 
 The lexicon is learned from labelled rows: stems and whole words that are far
 more frequent in toxic rows, each weighted by its log odds, near copies counted
@@ -14,7 +14,9 @@ documented bound); seven tenths give the lexicon and the rest the curve.
 
 Cases: null or empty text scores what a text without hits does; without labels
 of both kinds every score is the smoothed share of label 1; texts are searched
-whole; repeated rows score alike; rows without a doc_id are never learned from.
+whole, however long; repeated rows score alike; rows without a doc_id are never
+learned from and have a null held_out; ``keep_clean`` keeps all columns, of any
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ THRESHOLD = 0.7
 MIN_TOXIC = 4
 MIN_WEIGHT = 2.0
 STEM_LENGTHS = range(3, 11)
+#: Measures of a text that the curve weighs.
+MEASURES = 4
 #: Benign phrases that contain words of a usual lexicon.
 EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bin", "clown fish", "clownfish", "idiot proof", "idiot-proof", "scum line")
 
@@ -91,11 +95,11 @@ class Matcher:
             self.automaton.make_automaton()
 
     def hits(self, text: str | None) -> tuple[dict[str, float], int]:
-        """Weight of each distinct hit in a text, the best one where several begin, and the text's words."""
+        """Weight of each distinct word of a text that begins with a hit, and the number of the text's words."""
         if not text:
             return {}, 0
         text = fold(text)
-        best: dict[int, tuple[float, str, int]] = {}
+        best: dict[int, tuple[float, int]] = {}
         benign: list[tuple[int, int]] = []
         for last, (w, stem, whole, phrase) in self.automaton.iter(text) if self.size else ():
             first = last - len(w) + 1
@@ -105,16 +109,17 @@ class Matcher:
             if phrase and ends:
                 benign.append((first, last))
             for value in (stem, whole if ends else None):
-                if value is not None and (first not in best or len(w) >= best[first][2]):
-                    best[first] = (value, w, len(w))
+                if value is not None and (first not in best or len(w) >= best[first][1]):
+                    best[first] = (value, len(w))
         found: dict[str, float] = {}
-        for first, (value, w, n) in best.items():
+        for first, (value, n) in best.items():
             if not any(a <= first and first + n - 1 <= b for a, b in benign):
-                found[w] = max(value, found.get(w, value))
+                word = _WORD.match(text, first)[0]
+                found[word] = max(value, found.get(word, value))
         return found, text.count(" ") + 1
 
-    def measures(self, text: str | None) -> tuple[float, float, float, float]:
-        """Constant, sum, largest and density of the hits' weights."""
+    def measures(self, text: str | None) -> tuple[float, ...]:
+        """Constant; sum, largest and density of the distinct hits' weights."""
         found, words = self.hits(text)
         total = sum(found.values())
         return 1.0, math.log1p(max(total, 0.0)), max(found.values(), default=0.0), total / math.sqrt(10 + words)
@@ -201,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     clean = len(lexicon_ids) - toxic
     share = (sum(one["label"]) + 1) / (len(one) + 2) if len(one) else 0.5
     if not toxic or not clean:
-        return {}, [math.log(share / (1 - share)), 0.0, 0.0, 0.0]
+        return {}, [math.log(share / (1 - share))] + [0.0] * (MEASURES - 1)
 
     def count(wanted: set[str] | None, kind: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,17 +225,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     neg = count(set(pos), 0)
     lexicon = choose({f: (n, neg.get(f, 0)) for f, n in pos.items()}, toxic, clean)
 
+    names = [f"x{i}" for i in range(MEASURES)]
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon)
         for b in batches:
             kept = [(d, *matcher.measures(t)) for d, t in zip(b["doc_id"], b["text"], strict=True) if d in curve_ids]
-            yield pd.DataFrame(kept, columns=["doc_id", "a", "b", "c", "d"])
+            yield pd.DataFrame(kept, columns=["doc_id", *names])
 
-    x = sample.mapInPandas(measure, "doc_id long, a double, b double, c double, d double").orderBy("doc_id").toPandas()
+    x = sample.mapInPandas(measure, "doc_id long, " + ", ".join(f"{n} double" for n in names)).orderBy("doc_id").toPandas()
     y = x["doc_id"].map(curve_ids).to_numpy(float)
     if len(set(y)) < 2:
-        return lexicon, [math.log(share / (1 - share)), 0.0, 1.0, 0.0]
-    return lexicon, fit_curve(x[["a", "b", "c", "d"]].to_numpy(float), y).tolist()
+        return lexicon, [math.log(share / (1 - share)), 0.0, 1.0] + [0.0] * (MEASURES - 3)
+    return lexicon, fit_curve(x[names].to_numpy(float), y).tolist()
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], curve: list[float], threshold: float = THRESHOLD, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
@@ -241,7 +248,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], curve: list[float], thresh
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher, weights = Matcher(lexicon, exceptions), np.array(curve)
         for b in batches:
-            x = np.array([matcher.measures(t) for t in b["text"]]).reshape(-1, 4)
+            x = np.array([matcher.measures(t) for t in b["text"]]).reshape(-1, MEASURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield b.assign(score=p, predicted=(p >= threshold).astype(np.int32))
 
@@ -258,7 +265,7 @@ def keep_clean(docs: DataFrame, lexicon: dict[str, float], curve: list[float], t
         matcher, weights = Matcher(lexicon), np.array(curve)
         at = columns.index("text")
         for b in batches:
-            x = np.array([matcher.measures(t.as_py()) for t in b.column(at)]).reshape(-1, 4)
+            x = np.array([matcher.measures(t.as_py()) for t in b.column(at)]).reshape(-1, MEASURES)
             good = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) < threshold
             yield b.filter(pa.array(good))
 
@@ -281,7 +288,7 @@ def _scores(keyed: DataFrame, lexicon: dict[str, float], curve: list[float]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, weights = Matcher(lexicon), np.array(curve)
         for b in batches:
-            x = np.array([matcher.measures(t.as_py()) for t in b.column(2)]).reshape(-1, 4)
+            x = np.array([matcher.measures(t.as_py()) for t in b.column(2)]).reshape(-1, MEASURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], schema=schema)
 

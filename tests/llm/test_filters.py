@@ -78,7 +78,7 @@ def test_fold():
 
 def test_matcher():
     m = toxicity.Matcher({"idio": 3.0, "idiot": 4.0, "ass ": 2.0, "trash": 3.0})
-    assert m.hits("An IDIOTIC one") == ({"idiot": 4.0}, 3)
+    assert m.hits("An IDIOTIC one, idiots!") == ({"idiotic": 4.0, "idiots": 4.0}, 4)
     assert m.hits("videodiot assess ass.")[0] == {"ass": 2.0}
     assert m.hits("the trash can, trash!")[0] == {"trash": 3.0} and m.hits("a trash can")[0] == {}
     assert m.hits(None) == ({}, 0) and toxicity.Matcher({}).hits("idiot") == ({}, 1)
@@ -108,6 +108,39 @@ def test_toxicity_held_out(spark, documents, folder):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def brute_score(text, lexicon, exceptions):
+    """Words of the folded text by regular expressions, without an automaton."""
+    text = toxicity.fold(text or "")
+    spans = [m.span() for e in exceptions for m in re.finditer(rf"(?<!\w){re.escape(toxicity.fold(e))}(?!\w)", text)]
+    found = {}
+    for m in re.finditer(r"[^\W\d_]+", text):
+        if m.start() and text[m.start() - 1].isalnum():
+            continue
+        ends = m.end() >= len(text) or not text[m.end()].isalnum()
+        fits = [(len(w.rstrip()), w.endswith(" "), w) for w in lexicon if (m[0] == w.rstrip() and ends if w.endswith(" ") else m[0].startswith(w))]
+        if fits:
+            n, _, w = max(fits)
+            if not any(a <= m.start() and m.start() + n <= b for a, b in spans):
+                found[m[0]] = max(lexicon[w], found.get(m[0], lexicon[w]))
+    total = sum(found.values())
+    return [1.0, math.log1p(total), max(found.values(), default=0.0), total / math.sqrt(10 + (text.count(" ") + 1 if text else 0))]
+
+
+def test_scores_like_brute_force(spark, documents):
+    lexicon, curve = {"idio": 3.0, "idiot": 4.0, "ass ": 2.0, "trash": 3.5, "zug": 2.5, "zugga ": 5.0}, [-4.0, 0.3, 0.5, 3.0]
+    words = ["idiot", "Idi0tic", "ass", "assess", "tr@sh", "trash can", "the", "zugga", "zuggo", "videodiot", "x1diot", "clown fish", "of", "été", "IDIO"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 40)))) for i in range(200)] + [(200, None), (201, ""), (202, "idiot " * 60_000), (203, "the " * 60_000 + "trash"), (203, "trash")]
+    docs = documents(rows).withColumn("score", F.lit("clash")).withColumn("predicted", F.lit("clash"))
+    got = toxicity.score(docs, lexicon, curve).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(brute_score(r.text, lexicon, toxicity.EXCEPTIONS), curve, strict=True))))
+        assert abs(r.score - p) < 1e-9 and r.predicted == (p >= 0.7), r.text
+    kept = toxicity.keep_clean(docs, lexicon, curve)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
+    assert toxicity.keep_clean(documents([]), lexicon, curve).count() == 0
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon, curve = toxicity.learn(documents([(1, "x")]), none)
