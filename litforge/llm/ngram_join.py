@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litforge.llm.bpe import Memory
+from litforge.llm.joins import hot_keys, with_facts
 from litforge.session import materialize, table
 
 #: Production parameters.
@@ -433,7 +434,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     measured = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_measure(words, FREQUENT), "doc_id long, n long, key long, bits binary, frequent binary")
     measured = materialize(measured, "join-measures")
     rows = measured.filter("frequent IS NULL").select("doc_id", "n", "key", "bits")
-    facts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    facts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
     facts = materialize(facts, "join-sets")
     total = facts.agg(F.count("*"), F.sum("n")).first()
     texts, postings = total[0], (total[1] or 0) * (100 - percent + EXTRA) / 100 + total[0]
@@ -472,7 +473,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     least = groups.join(facts.select("key", "first"), "key").groupBy("root").agg(F.min("first").alias("component_id"))
     labels = groups.join(least, "root").select("key", F.col("component_id").alias("linked"))
     labels = facts.select("key", "first").join(labels, "key", "left").select("key", F.coalesce("linked", "first").alias("component_id"))
-    out = rows.select("doc_id", "n", "key").join(labels, "key", "left")
+    out = with_facts(rows.select("doc_id", "n", "key"), labels, hot_keys(facts, "key", "rows"), "key")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -10,9 +10,11 @@ goes.  The corpus is cut into shards such that equal strings meet:
 2. Marks are dealt to buckets as packed records; only runs whose mark occurs
    again stay.  That loses nothing: a repeated window has a repeated mark.
 3. The bytes of these runs go to the shard of their mark.  Equal contents are
-   held once; a shard's suffixes are sorted by induced sorting, and neighbours
-   in that order that agree for LENGTH bytes are repeated starts.  A shard must
-   fit in memory, and all runs of one mark are in one shard.
+   held once; a shard's suffixes are sorted by external induced sorting, which
+   gives their common prefixes too, and neighbours in that order that have LENGTH
+   bytes in common are repeated starts.  A shard is read in pieces; its text and
+   the queues move to files of the shared folder beyond MEMORY.  All runs of one
+   mark are in one shard.
 4. Starts become spans of their texts, which are cut.
 
 Texts are known by a 64-bit hash, so copies are marked by counting alone: copies
@@ -20,22 +22,24 @@ of LENGTH bytes or more go wholly, and one of them stands for all in the above.
 
 Cases: null text is empty; texts under LENGTH bytes keep all bytes; repeated
 rows are copies; a null doc_id stays null; matches never cross documents; texts
-of any length are read whole.
+of any length are read whole; an empty table gives no rows; ``remove_repeats`` keeps
+all columns, of any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litforge.llm.suffix_sort import repeated_starts
-from litforge.session import materialize, table
+from litforge.llm.joins import hot_keys, with_facts
+from litforge.llm.suffix_sort import Scratch, repeated_starts
+from litforge.session import materialize, shared_dir, table
 
 #: Production parameters.
 LENGTH = 200
@@ -43,6 +47,8 @@ GRAM = 64
 #: Bytes of run contents that a shard is laid out for, and of marks for a bucket.
 SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Bytes of tuples and texts that sorting a shard holds in memory, about; the rest is in files of the shared folder.
+MEMORY = 256 << 20
 #: Up to so many ids (16 MB) pick rows by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -191,51 +197,68 @@ def _cut_runs(length: int, parts: int):
     return run
 
 
-def _sort_shard(length: int, parts: int):
-    def run(t: pa.Table) -> pa.Table:
-        records, bodies = [], []
-        for blob in t.column("data").to_pylist():
-            n = int.from_bytes(blob[:4], "little")
-            at = 4 + n * RUN.itemsize
-            r = np.frombuffer(blob[4:at], RUN)
-            records.append(r)
-            for size in r["size"].tolist():
-                bodies.append(blob[at : at + size])
-                at += size
-        r = np.concatenate(records)
-        # Equal contents are held once, each with the number of places where it stands.
+def _sort_shard(length: int, parts: int, memory: int, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch = Scratch(folder, memory)
+        records: list[np.ndarray] = []
         index: dict[bytes, int] = {}
-        content = np.array([index.setdefault(b, len(index)) for b in bodies])
-        texts = list(index)
-        times = np.bincount(content, minlength=len(texts))
-        some = np.zeros(len(texts), np.int64)
-        some[content] = np.arange(len(content))
+        content: list[int] = []
+        sizes: list[int] = []
+
+        def distinct() -> Iterator[bytes]:
+            """Equal contents are held once, known by a 128-bit hash, each followed by a byte that no string may hold."""
+            for batch in batches:
+                for blob in batch.column(batch.schema.get_field_index("data")):
+                    blob = blob.as_py()
+                    n = int.from_bytes(blob[:4], "little")
+                    at = 4 + n * RUN.itemsize
+                    r = np.frombuffer(blob[4:at], RUN)
+                    records.append(r)
+                    for size in r["size"].tolist():
+                        body = blob[at : at + size]
+                        at += size
+                        i = index.setdefault(xxhash.xxh3_128_digest(body), len(index))
+                        content.append(i)
+                        if i == len(sizes):
+                            sizes.append(size)
+                            yield body + b"\0"
+
+        try:
+            text = scratch.gather(distinct())
+            if records:
+                yield from spans(scratch, text, np.concatenate(records), np.array(content), np.array(sizes))
+        finally:
+            scratch.close()
+
+    def spans(scratch: Scratch, text: np.ndarray, r: np.ndarray, where: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        base = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        times = np.bincount(where, minlength=len(size))
+        some = np.zeros(len(size), np.int64)
+        some[where] = np.arange(len(where))
         mark, tie = r["mark"][some], r["tie"][some] > 0
-        kinds = Counter(mark.tolist())
-        single = Counter(mark[times == 1].tolist())
         # Sorting decides for contents that stand once and share their mark, or that may repeat themselves.
-        wanted = [i for i, m in enumerate(mark.tolist()) if (tie[i] and times[i] == 1) or (kinds[m] > 1 and single[m])]
+        _, kind = np.unique(mark, return_inverse=True)
+        shared = (np.bincount(kind)[kind] > 1) & (np.bincount(kind, weights=times == 1)[kind] > 0)
+        wanted = np.flatnonzero((tie & (times == 1)) | shared)
         hit: dict[int, np.ndarray] = {}
-        if wanted:
-            sizes = np.array([len(texts[i]) for i in wanted])
-            base = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-            text = np.frombuffer(b"\0".join(texts[i] for i in wanted), np.uint8)
-            gap = (base + sizes)[:-1]
-            windows = sizes - (length - 1)
-            first = np.repeat(base - np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
-            found = repeated_starts(text, first + np.arange(len(first)), length, gap)
-            for i, part in zip(wanted, np.split(found, np.cumsum(windows)[:-1]), strict=True):
-                hit[i] = part
-        spans = []
-        keys, starts, runs = r["key"].tolist(), r["start"].tolist(), r["run"].tolist()
-        for j, i in enumerate(content.tolist()):
+        if len(wanted):
+            if len(wanted) < len(size):
+                text = scratch.gather(text[a : a + n + 1].tobytes() for a, n in zip(base[wanted].tolist(), size[wanted].tolist(), strict=True))
+            own = np.concatenate(([0], np.cumsum(size[wanted] + 1)[:-1]))
+            windows = size[wanted] - (length - 1)
+            first = np.repeat(own - np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
+            found = repeated_starts(text, first + np.arange(len(first)), length, own + size[wanted], memory, folder)
+            hit = dict(zip(wanted.tolist(), np.split(found, np.cumsum(windows)[:-1]), strict=True))
+        out = []
+        for i, key, start, n in zip(where.tolist(), r["key"].tolist(), r["start"].tolist(), r["run"].tolist(), strict=True):
             if times[i] > 1:
-                spans.append((keys[j], starts[j], starts[j] + runs[j] + length - 1))
+                out.append((key, start, start + n + length - 1))
             elif i in hit and hit[i].any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[i].view(np.int8), [0]))))
-                spans += [(keys[j], starts[j] + a, starts[j] + b + length - 1) for a, b in edge.reshape(-1, 2).tolist()]
-        out = np.array(spans, SPAN)
-        return pa.Table.from_batches(_deal(out, _part(out["key"], parts)), schema=_PACKED)
+                out += [(key, start + a, start + b + length - 1) for a, b in edge.reshape(-1, 2).tolist()]
+        if out:
+            done = np.array(out, SPAN)
+            yield from _deal(done, _part(done["key"], parts))
 
     return run
 
@@ -265,12 +288,14 @@ def pick(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids), same, "left_semi") if ids.count() <= BROADCAST_IDS else rows
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Texts ``(doc_id, key, n_bytes, sha)`` of all rows, and spans ``(key, first, data)`` of texts with repeats."""
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts ``(doc_id, key, n_bytes, sha)`` of all rows, copies ``(key, n, first)`` of each text, and spans ``(key, first, data)`` of texts with repeats."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
     rows = keyed.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     rows = materialize(rows, "repeats-rows")
+    # One row stands for each text.
+    copies = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "repeats-copies")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(16, int(total / 70 * RUN.itemsize / BUCKET_BYTES) + 1)
     marked = keyed.select("key", "text").mapInArrow(_mark_texts(length, gram, buckets), PACKED)
@@ -278,21 +303,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tup
     runs = materialize(repeated.groupBy("part").applyInArrow(_by_text(RUN), "key long, data binary"), "repeats-runs")
     size = (runs.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / RUN.itemsize * (length + 70)
     shards = max(16, int(size / SHARD_BYTES) + 1)
-    # One row stands for each text.
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    runs = materialize(runs.join(firsts, "key"), "repeats-runs-ids")
+    runs = materialize(runs.join(copies.select("key", F.col("first").alias("doc_id")), "key"), "repeats-runs-ids")
     texts = pick(keyed.select("doc_id", "key", "text"), runs.select("doc_id").distinct(), "doc_id")
     runs = runs.withColumnsRenamed({"key": "run_key", "doc_id": "run_doc"})
     cut = texts.join(runs, (F.col("key") == F.col("run_key")) & F.col("doc_id").eqNullSafe(F.col("run_doc")))
     dealt = cut.select("text", "data").mapInArrow(_cut_runs(length, shards), PACKED)
-    spans = dealt.groupBy("part").applyInArrow(_sort_shard(length, buckets), PACKED)
+    spans = dealt.groupBy("part").applyInArrow(_sort_shard(length, buckets, MEMORY, f"{shared_dir(docs.sparkSession)}/litforge/sort"), PACKED)
     spans = materialize(spans.groupBy("part").applyInArrow(_by_text(SPAN), "key long, data binary"), "repeats-spans")
-    return rows, spans.join(firsts.withColumnRenamed("doc_id", "first"), "key")
+    return rows, copies, spans.join(copies.select("key", "first"), "key")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, spans = find_repeats(docs)
+    rows, copies, spans = find_repeats(docs)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,8 +333,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = texts.withColumnsRenamed({"first": "text_first", "key": "text_key"})
     cut = spans.join(texts, (F.col("key") == F.col("text_key")) & F.col("first").eqNullSafe(F.col("text_first"))).select("key", "data", "text").mapInArrow(measure, "key long, removed long, spans long, kept string")
     cut = materialize(cut, "repeats-cut").dropDuplicates(["key"])
-    copies = rows.groupBy("key").agg((F.count("*") > 1).alias("copied"))
-    out = rows.join(copies, "key").join(cut, "key", "left")
+    facts = copies.select("key", (F.col("n") > 1).alias("copied")).join(cut, "key", "left")
+    out = with_facts(rows, facts, hot_keys(copies, "key"), "key")
     gone = F.col("copied") & (F.col("n_bytes") >= LENGTH)
     return out.select(
         "doc_id",
@@ -328,12 +351,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A code point that loses some of its bytes is dropped.  ``n_chars`` follows the
     text where it is a column.
     """
-    rows, spans = find_repeats(docs, length)
-    copies = rows.groupBy("key").agg((F.count("*") > 1).alias("__copied"))
-    facts = copies.join(spans.select("key", F.col("data").alias("__spans")), "key", "left").filter("__copied OR __spans IS NOT NULL")
+    _, copies, spans = find_repeats(docs, length)
+    facts = copies.select("key", (F.col("n") > 1).alias("copied")).join(spans.select("key", F.col("data").alias("spans")), "key", "left").filter("copied OR spans IS NOT NULL")
     columns = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(facts.withColumnRenamed("key", "__key"), "__key", "left").select(*columns, "__copied", "__spans")
+    keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    joined = with_facts(keyed, facts, hot_keys(copies, "key"), "key").select("row.*", F.col("copied").alias("__copied"), F.col("spans").alias("__spans"))
     at, counts = columns.index("text"), "n_chars" in columns
     schema = docs.schema
 

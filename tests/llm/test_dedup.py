@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from litforge.llm import ngram_join, suffix_dedup
-from litforge.llm.suffix_sort import repeated_starts, suffix_order
+from litforge.llm import suffix_sort
+from litforge.llm.suffix_sort import Scratch, repeated_starts, suffix_sort as sort_suffixes
 
 rng = random.Random(7)
 VOCAB = ["w%d" % i for i in range(400)]
@@ -92,20 +93,54 @@ def test_tree_bound_is_safe():
             assert np.minimum(x, y).sum() + spare >= len(np.intersect1d(a, b))
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=90), st.integers(60, 5000))
-def test_suffix_order(values, memory):
-    t = np.array([*values, 0], np.uint16)
-    assert suffix_order(t, memory).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=90), st.sampled_from([200, 3000, 1 << 30]), st.sampled_from([1, 3, 256]), st.sampled_from([5, 400]), st.booleans())
+def test_suffixes_and_common_prefixes(tmp_path_factory, values, memory, alphabet, cap, twice):
+    t = np.array([*(values * 2 if twice else values), 0], np.uint16)
+    before = suffix_sort.ALPHABET, suffix_sort.DIRECT
+    suffix_sort.ALPHABET, suffix_sort.DIRECT = alphabet, 0  # every level by induction, names as one digit or two
+    scratch = Scratch(f"file://{tmp_path_factory.getbasetemp()}", memory)
+    order, lcp = sort_suffixes(t, cap, scratch)
+    scratch.close()
+    suffix_sort.ALPHABET, suffix_sort.DIRECT = before
+    rest = [t[i:].tolist() for i in order]
+    if cap > len(t):
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert sorted(order.tolist()) == list(range(len(t))) and [r[:cap] for r in rest] == sorted(r[:cap] for r in rest)
+    assert lcp.tolist() == [0] + [min(cap, common(a, b)) for a, b in zip(rest, rest[1:])]
+
+
+def test_repeated_starts(tmp_path):
+    data = (words(400) + words(100) * 2 + "ab" * 300 + words(30) + "z" * 900).encode()
+    for length in (200, 700):
+        starts = np.arange(len(data) - length + 1)
+        count = Counter(data[i : i + length] for i in starts)
+        want = [count[data[i : i + length]] > 1 for i in starts]
+        assert repeated_starts(data, starts, length).tolist() == want
+        assert repeated_starts(data, starts, length, memory=5000, folder=f"file://{tmp_path}").tolist() == want
+    with pytest.raises(ValueError):
+        repeated_starts(data, starts, 70_000)
+    assert not list(tmp_path.iterdir())  # nothing is left behind
 
 
-def test_repeated_starts():
-    data = (words(400) + words(100) * 2 + "ab" * 300).encode()
-    starts = np.arange(len(data) - 199)
+def test_shard_of_ten_times_the_memory(tmp_path):
+    passage = words(90)
+    texts = [words(rng.randint(30, 120)) + (passage if i % 7 == 0 else "") + words(20) for i in range(400)]
+    data = "\0".join(texts).encode()
+    gap = np.flatnonzero(np.frombuffer(data, np.uint8) == 0)
+    starts = np.concatenate([np.arange(a, b - 199) for a, b in zip(np.concatenate(([0], gap + 1)), np.append(gap, len(data))) if b - a >= 200])
     count = Counter(data[i : i + 200] for i in starts)
-    assert repeated_starts(data, starts, 200, memory=5000).tolist() == [count[data[i : i + 200]] > 1 for i in starts]
-    with pytest.raises(ValueError):
-        repeated_starts(data, starts, 1000)
+    seen = []
+    close = Scratch.close
+    Scratch.close = lambda self: (seen.append(self.spilled), close(self))
+    got = repeated_starts(data, starts, 200, gap, 8 * len(data) // 10, f"file://{tmp_path}")
+    Scratch.close = close
+    assert got.tolist() == [count[data[i : i + 200]] > 1 for i in starts] and any(got) and not all(got)
+    assert seen[0] > 8 * len(data)
 
 
 def brute_cut(rows, length=200):
@@ -136,6 +171,13 @@ def test_repeats_like_brute_force(spark, documents, folder):
     assert [got[i] for i, _ in rows] == brute_cut(rows)
 
 
+def test_repeats_in_small_memory(spark, documents, folder, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMORY", 20_000)
+    rows = repeat_rows() + [(50 + i, words(700) + "q" * 250 + words(300)) for i in range(5)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.op4_suffix_dedup(spark, folder(documents(rows).repartition(4), "documents")).collect()}
+    assert [got[i] for i, _ in rows] == brute_cut(rows)
+
+
 def test_repeats_edges(spark, documents, folder):
     assert suffix_dedup.remove_repeats(documents([])).count() == 0
     text = words(80)
