@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +59,27 @@ def tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens(text), lambda t: ~t.isin(STOP_WORDS))  # becomes a lookup in a hash set
+
+
+def _marked_letters() -> tuple[str, str]:
+    """Letters with marks and the ASCII letters that they are without, by canonical decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, BARE = _marked_letters()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without marks on Latin letters."""
+    return F.translate(F.lower(text), MARKED, BARE)
+
+
+def folded_text(text: str) -> str:
+    """The same for a string."""
+    return text.lower().translate(str.maketrans(MARKED, BARE))
 
 
 def normalize_title(title: Column) -> Column:
@@ -125,13 +146,24 @@ def strength(text: Column) -> Column:
     return F.when(t.rlike("|".join(STRONG)), "strong").when(t.rlike("|".join(WEAK)), "weak")
 
 
-def first_phrase(text: Column, phrases: list[str], width: int = 240) -> Column:
-    """Earliest of the phrases (ties: first listed) with a snippet of the text around it, null if none."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    hits = [F.when(F.instr(t, p) > 0, F.struct(F.instr(t, p).alias("at"), F.lit(i).alias("rank"), F.lit(p).alias("phrase"))) for i, p in enumerate(phrases)]
-    best = F.array_min(F.array_compact(F.array(*hits)))
-    start = F.greatest(F.lit(1), best["at"] - 60)
-    return F.when(best.isNotNull(), F.struct(best["phrase"].alias("phrase"), best["at"].alias("at"), F.substring(t, start, F.lit(width)).alias("snippet")))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_phrase(text: Column, phrases: list[str]) -> Column:
+    """Earliest of the phrases (ties: first listed) with the sentence around it, null if none."""
+
+    def sentence(t: Column, best: Column) -> Column:
+        before = F.regexp_extract(F.substring(t, F.lit(1), best["at"] - 1), "[^.!?]*$", 0)
+        after = F.regexp_extract(F.substring(t, best["at"], F.length(t)), "^[^.!?]*[.!?]?", 0)
+        return F.when(best.isNotNull(), F.struct(best["phrase"].alias("phrase"), best["at"].alias("at"), F.trim(F.concat(before, after)).alias("snippet")))
+
+    def find(t: Column) -> Column:
+        places = F.array(*[F.struct(F.instr(t, p).alias("at"), F.lit(i).alias("rank"), F.lit(p).alias("phrase")) for i, p in enumerate(phrases)])
+        return let(F.array_min(F.filter(places, lambda h: h["at"] > 0)), lambda best: sentence(t, best))
+
+    return let(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), find)
 
 
 # Function words that tell English.
@@ -155,6 +187,13 @@ def labels_match(a: Column, b: Column, least: float = 0.67) -> Column:
     return (F.array_join(words(a), " ") == F.array_join(words(b), " ")) | ((low > 0) & (F.size(F.array_intersect(x, y)) >= least * low))
 
 
+def field_key(community: Column, domain: Column, category: Column, paper_id: Column) -> Column:
+    """Where a paper belongs: the first of these that is known, else the head of its id, with its kind."""
+    known = [F.concat(F.lit(f"{name}:"), F.nullif(c.cast("string"), F.lit(""))) for name, c in (("community_id", community), ("domain", domain), ("primary_category", category))]
+    i = F.coalesce(paper_id, F.lit(""))
+    return F.coalesce(*known, F.concat(F.lit("cat:"), F.when(i.contains("/"), F.substring_index(i, "/", 1)).otherwise(F.substring_index(i, ".", 1))))
+
+
 def prompt_sections(sections: dict[str, Column], most: int = 3000) -> Column:
     """Sections under headers, cut at ``most`` characters with a mark."""
     parts = []

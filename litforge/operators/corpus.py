@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litforge.functions import text as T
+from litforge.session import materialize
+
+#: Rows of a term's list that one task of a pair join meets, about.
+BLOCK = 2000
+#: Up to so many communities' sizes are broadcast.
+MANY = 100_000
 
 
 def section_tf(sections: DataFrame, weights: dict[str, float] = T.SECTION_WEIGHTS) -> DataFrame:
@@ -24,6 +32,7 @@ def idf(df: Column, n: Column) -> Column:
 
 def tfidf(tf: DataFrame, documents: int) -> DataFrame:
     """``(doc_id, term, weight)``.  ``documents`` counts all, those without terms too."""
+    tf = materialize(tf, "tf")  # read twice, tokenised once
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     return tf.join(df, "term").select("doc_id", "term", (F.col("tf") * idf(F.col("df"), F.lit(documents))).alias("weight"))
 
@@ -38,7 +47,7 @@ def raw_tfidf(docs: DataFrame, pattern: str, log_n_plus: bool, top: int | None =
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term"))
     if log_n_plus:
         words = words.filter((F.length("term") > 2) & ~F.col("term").isin(T.STOP_WORDS))
-    counts = words.groupBy("doc_id", "term").agg(F.count("*").alias("c"))
+    counts = materialize(words.groupBy("doc_id", "term").agg(F.count("*").alias("c")), "term-counts")
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
     joined = counts.join(df, "term")
@@ -58,7 +67,8 @@ def class_tfidf(tf: DataFrame, members: DataFrame, n: int = 10, other: int | Non
     sizes = kept.groupBy("community_id").agg(F.count("*").alias("size"))
     # One row: the number of communities.
     communities = sizes.count()
-    sums = tf.join(kept, "doc_id").groupBy("community_id", "term").agg(F.sum("tf").alias("s")).join(sizes, "community_id")
+    sums = tf.join(kept, "doc_id").groupBy("community_id", "term").agg(F.sum("tf").alias("s")).join(F.broadcast(sizes) if communities <= MANY else sizes, "community_id")
+    sums = materialize(sums, "class-sums")
     df = sums.groupBy("term").agg(F.count("*").alias("df"))
     score = F.col("s") / F.col("size") * (F.ln(F.lit(communities) / F.col("df")) + 1)
     scored = sums.join(df, "term").select("community_id", "term", score.alias("weight")).filter("weight > 0")
@@ -76,36 +86,79 @@ def _times(words: str, word: str) -> Column:
 
 
 def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, limit: int | None = 10) -> DataFrame:
-    """``(doc_id, score)`` by weighted field scores; words are alternatives.  The query is small and becomes literals."""
-    words = sorted({w for w in query.lower().split() if w})
-    out = None
-    for field, weight in weights.items():
-        parts = F.filter(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-        rows = docs.select("doc_id", F.size(parts).alias("dl"), parts.alias("t"))
-        tf = [_times("t", w).alias(f"tf{i}") for i, w in enumerate(words)]
-        rows = rows.select("doc_id", "dl", *tf)
-        facts = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
-        score = F.lit(0.0)
+    """``(doc_id, score, rank)`` by weighted field scores, best first; words are alternatives, marks and case don't count.
+
+    The query is small and becomes literals.  One pass over the texts counts its
+    words in all fields; the counts are written and everything else reads them.
+    """
+    words = sorted({w for w in (T.folded_text(x) for x in query.split()) if w})
+    fields = list(weights)
+    parts = [F.filter(F.split(T.folded(F.coalesce(F.col(f), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "").alias(f"t{j}") for j, f in enumerate(fields)]
+    split = docs.select("doc_id", *parts)
+    counts = split.select("doc_id", *[F.size(f"t{j}").alias(f"dl{j}") for j in range(len(fields))], *[_times(f"t{j}", w).alias(f"tf{j}_{i}") for j in range(len(fields)) for i, w in enumerate(words)])
+    counts = materialize(counts, "bm25-counts")
+    sums = [F.avg(f"dl{j}").alias(f"avg{j}") for j in range(len(fields))] + [F.count_if(F.col(f"tf{j}_{i}") > 0).alias(f"df{j}_{i}") for j in range(len(fields)) for i in range(len(words))]
+    facts = counts.agg(F.count("*").alias("n"), *sums).first()
+    score = F.lit(0.0)
+    for j, field in enumerate(fields):
         for i in range(len(words)):
-            weight_i = F.ln(F.lit((facts["n"] - facts[f"df{i}"] + 0.5) / (facts[f"df{i}"] + 0.5) + 1.0))
-            f = F.col(f"tf{i}")
-            score = score + weight_i * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(facts["avgdl"] or 1.0)))
-        part = rows.select("doc_id", (weight * score).alias("score")).filter("score > 0")
-        out = part if out is None else out.unionByName(part)
-    ranked = out.groupBy("doc_id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "doc_id")
-    return ranked.limit(limit) if limit else ranked
+            df = facts[f"df{j}_{i}"]
+            f = F.col(f"tf{j}_{i}")
+            found = F.lit(math.log((facts["n"] - df + 0.5) / (df + 0.5) + 1.0)) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col(f"dl{j}") / F.lit(facts[f"avg{j}"] or 1.0)))
+            score = score + weights[field] * F.when(f > 0, found).otherwise(0.0)
+    scored = counts.select("doc_id", score.alias("score")).filter("score > 0")
+    order = [F.desc(T.rounded(F.col("score"), 9)), F.col("doc_id")]
+    if limit is not None:  # taken by a bounded heap in each task, so the window below sees these rows only
+        scored = scored.orderBy(*order).limit(limit)
+        return scored.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return scored.orderBy(*order)
+
+
+def searched(papers: DataFrame, docs: DataFrame, query: str, weights: dict[str, float], limit: int = 100) -> DataFrame:
+    """The rows of ``papers(doc_id, ...)`` among the best of a search over ``docs``."""
+    hits = bm25(docs, query, weights, limit=limit).select("doc_id")
+    return papers.join(F.broadcast(hits), "doc_id", "left_semi")
 
 
 def norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
+def _salted(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs a < b of rows ``(doc_id, term, u)`` that share a term: ``(a, b, term, ua, ub)``.
+
+    A term's list is cut into blocks of about BLOCK rows, and each pair of blocks
+    is a key of the join, so no task meets a whole long list twice.
+    """
+    sizes = rows.groupBy("term").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = rows.join(sizes, "term").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = cut.select("term", F.col("own").alias("i"), other.alias("j"), F.col("doc_id").alias(a), F.col("u").alias("ua"))
+    y = cut.select("term", other.alias("i"), F.col("own").alias("j"), F.col("doc_id").alias(b), F.col("u").alias("ub"))
+    return x.join(y, ["term", "i", "j"]).filter(F.col(a) < F.col(b)).drop("i", "j")
+
+
 def cosine_pairs(weights: DataFrame, least: float = 0.0) -> DataFrame:
-    """``(a, b, score)`` of pairs a < b that share a term; the inverted index bounds the work by its lists."""
+    """``(a, b, score)`` of pairs a < b that share a term.
+
+    With a threshold, a vector's terms are taken from the rarest on, and those are
+    left out of the search for candidates that come when what remains is shorter
+    than the threshold: two vectors that share none of the others can't reach it,
+    and the rarest term that two share is among the first of both.  Candidates
+    are then scored over all terms.
+    """
     unit = weights.join(norms(weights), "doc_id").filter("norm > 0").select("doc_id", "term", (F.col("weight") / F.col("norm")).alias("u"))
-    a, b = unit.select(F.col("doc_id").alias("a"), "term", F.col("u").alias("ua")), unit.select(F.col("doc_id").alias("b"), "term", F.col("u").alias("ub"))
-    dots = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("score"))
-    return dots.filter(F.col("score") >= least) if least else dots
+    if least <= 0:
+        return _salted(unit, "a", "b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("score"))
+    unit = materialize(unit, "cosine-unit")
+    df = unit.groupBy("term").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    left = 1 - F.coalesce(F.sum(F.col("u") * F.col("u")).over(rare), F.lit(0.0))
+    first = unit.join(df, "term").withColumn("left", left).filter(F.col("left") >= least * least - 1e-9).select("doc_id", "term", "u")
+    pairs = materialize(_salted(materialize(first, "cosine-first"), "a", "b").select("a", "b").distinct(), "cosine-pairs")
+    x, y = unit.select(F.col("doc_id").alias("a"), "term", F.col("u").alias("ua")), unit.select(F.col("doc_id").alias("b"), "term", F.col("u").alias("ub"))
+    dots = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("score"))
+    return dots.filter(F.col("score") >= least)
 
 
 def neighbours(pairs: DataFrame, k: int = 10) -> DataFrame:
@@ -128,11 +181,50 @@ def with_fillers(near: DataFrame, ids: DataFrame, k: int = 10) -> DataFrame:
     return near.select("doc_id", "rank", "neighbour", "score").unionByName(extra.select("doc_id", "rank", "neighbour", F.lit(0.0).alias("score")))
 
 
+def similar_papers(weights: DataFrame, ids: DataFrame, k: int = 10, least: float = 0.05, terms: int = 3) -> DataFrame:
+    """Neighbour lists as stored: ``(doc_id, rank, neighbour, score, shared)``.
+
+    Every document has k neighbours where there are as many others, those of score
+    0 last; ``shared`` holds the first terms, by name, of ``least`` weight in both.
+    """
+    weights = materialize(weights, "similar-weights")
+    pairs = cosine_pairs(weights).withColumn("score", T.rounded(F.col("score")))
+    near = materialize(with_fillers(materialize(neighbours(pairs, k), "similar-near"), ids, k), "similar-filled")
+    strong = weights.filter(F.col("weight") >= least).select("doc_id", "term")
+    both = near.join(strong, "doc_id").join(strong.withColumnRenamed("doc_id", "neighbour"), ["neighbour", "term"])
+    shared = both.groupBy("doc_id", "neighbour").agg(F.slice(F.array_sort(F.collect_list("term")), 1, terms).alias("shared"))
+    empty = F.array().cast("array<string>")
+    return near.join(shared, ["doc_id", "neighbour"], "left").select("doc_id", "rank", "neighbour", "score", F.coalesce("shared", empty).alias("shared"))
+
+
+def class_tfidf_export(vectors: DataFrame, members: DataFrame, top: int = 5, n: int = 10) -> DataFrame:
+    """The export's variant: each document's vector is cut to its best terms before they are summed."""
+    cut = top_terms(vectors, top).select("doc_id", "term", F.col("weight").alias("tf"))
+    return class_tfidf(cut, members, n)
+
+
+def contradiction_context(findings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``context`` of pairs ``(a, b, terms)``: both papers' findings ``(doc_id, findings array<struct<strength, text>>)`` and their shared terms."""
+    lines = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, "  (none)").otherwise(F.array_join(F.transform(c, lambda f: F.format_string("  - [%s] %s", f["strength"], f["text"])), "\n"))
+    sides = [findings.select(F.col("doc_id").alias(x), F.col("findings").alias(f"f_{x}")) for x in "ab"]
+    joined = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
+    text = F.format_string("Paper A (arxiv:%s):\nFindings:\n%s\n\nPaper B (arxiv:%s):\nFindings:\n%s\n\nShared high-weight terms: %s", F.col("a").cast("string"), lines(F.col("f_a")), F.col("b").cast("string"), lines(F.col("f_b")), F.array_join("terms", ", "))
+    return joined.select(*pairs.columns, text.alias("context"))
+
+
+def bridge_context(problems: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``context`` of pairs ``(a, b, terms)``: both papers' open problems ``(doc_id, open_problems array<string>)`` and the concepts between."""
+    line = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("(none)"))
+    sides = [problems.select(F.col("doc_id").alias(x), F.col("open_problems").alias(f"o_{x}")) for x in "ab"]
+    joined = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
+    text = F.format_string("Paper A (arxiv:%s):\nOpen problems: %s\n\nPaper C (arxiv:%s):\nOpen problems: %s\n\nShared intermediary concepts (B): %s", F.col("a").cast("string"), line(F.col("o_a")), F.col("b").cast("string"), line(F.col("o_b")), F.array_join("terms", ", "))
+    return joined.select(*pairs.columns, text.alias("context"))
+
+
 def shared_terms(weights: DataFrame, least: float) -> DataFrame:
     """``(a, b, terms)``: sorted terms of at least this weight in both."""
-    strong = weights.filter(F.col("weight") >= least)
-    a, b = strong.select(F.col("doc_id").alias("a"), "term"), strong.select(F.col("doc_id").alias("b"), "term")
-    return a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    strong = materialize(weights.filter(F.col("weight") >= least).select("doc_id", "term", F.lit(0).alias("u")), "strong-terms")
+    return _salted(strong, "a", "b").groupBy("a", "b").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def contradictions(pairs: DataFrame, strengths: DataFrame, least: float = 0.3) -> DataFrame:
@@ -156,10 +248,11 @@ def bridges(shared: DataFrame, edges: DataFrame, nodes: DataFrame | None = None,
 def verified(candidates: DataFrame, context: Column, verify=None) -> DataFrame:
     """Candidates that a pluggable model confirms: a pandas UDF from context to answer.
 
-    An empty answer or NO, whatever its case, drops the row.  Without a model all pass.
+    An empty answer or NO, whatever its case, drops the row.  Without a model
+    nothing is confirmed and all rows go.
     """
     if verify is None:
-        return candidates
+        return candidates.limit(0)
     answered = candidates.withColumn("answer", verify(context))
     return answered.filter(F.coalesce(F.upper(F.trim("answer")), F.lit("NO")) != "NO")
 

@@ -16,6 +16,20 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order))
 
 
+def against_all(queries: DataFrame, rows: DataFrame, block: int = 500) -> DataFrame:
+    """Every row beside every row of a stated set of queries.
+
+    Both sides are cut into blocks of about ``block`` rows; each pair of blocks is
+    a key of an equi-join, so the pairs are spread over tasks of a fixed size.
+    """
+    cuts = [max(1, -(-side.count() // block)) for side in (queries, rows)]
+    own = [F.pmod(F.xxhash64(*[c for c, t in side.dtypes if not t.startswith(("array", "map", "struct"))]), F.lit(n)).cast("int") for side, n in zip((queries, rows), cuts, strict=True)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in cuts]
+    left = queries.select("*", own[0].alias("__i"), every[1].alias("__j"))
+    right = rows.select("*", every[0].alias("__i"), own[1].alias("__j"))
+    return left.join(right, ["__i", "__j"]).drop("__i", "__j")
+
+
 def recall_and_mrr(ranks: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row over directed pairs ``truth(query_id, cand_id)``; a missing rank is a miss."""
     r = truth.join(ranks.select("query_id", "cand_id", "rank"), ["query_id", "cand_id"], "left")
@@ -36,6 +50,51 @@ def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
 
 
+def delta_auc(rows: DataFrame, limit: float) -> DataFrame:
+    """Areas of two scorers and their difference over rows off the diagonal: those whose objects are less alike than ``limit``.
+
+    ``rows(method, symmetric, object, positive)``; rows without a symmetric score don't count.
+    """
+    kept = rows.filter((F.col("object") < limit) & F.col("symmetric").isNotNull())
+    a = auc(kept.select(F.col("method").alias("score"), "positive")).withColumnRenamed("auc", "auc_method")
+    b = auc(kept.select(F.col("symmetric").alias("score"), "positive")).select(F.col("auc").alias("auc_symmetric"))
+    return a.join(b).withColumn("delta", F.col("auc_method") - F.col("auc_symmetric"))
+
+
+def surface_hard(ranks: DataFrame, pairs: DataFrame, beyond: int = 10) -> DataFrame:
+    """The ``pairs(query_id, cand_id)`` that the plain ranking finds only beyond this rank."""
+    return pairs.join(ranks.filter(F.col("rank") > beyond).select("query_id", "cand_id"), ["query_id", "cand_id"], "left_semi")
+
+
+def candidate_order(pairs: DataFrame, n: int) -> DataFrame:
+    """The first n candidates by rank, then words shared, then ids, with their place."""
+    order = [F.col(c) for c in ("rank", "lexical", "query_id", "cand_id")]
+    best = pairs.orderBy(*order).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def tag_gate(pairs: DataFrame, tags: DataFrame, bar: int) -> DataFrame:
+    """How many of ``pairs(a, b)`` share a tag of ``tags(doc_id, tags)``, and whether that passes the bar."""
+    sides = [tags.select(F.col("doc_id").alias(x), F.col("tags").alias(f"t_{x}")) for x in "ab"]
+    shared = F.arrays_overlap("t_a", "t_b")
+    rows = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
+    out = rows.agg(F.count("*").alias("pairs"), F.count_if(F.coalesce(shared, F.lit(False))).alias("hits"))
+    return out.withColumn("recall", F.when(F.col("pairs") > 0, F.col("hits") / F.col("pairs")).otherwise(0.0)).withColumn("passes", F.col("hits") >= bar)
+
+
+def best_null(units: DataFrame) -> DataFrame:
+    """Scores of the clean units: their number, yield, field pairs, and mean percentile of the better null.
+
+    ``units(lexical, embedding, clean, field_a, field_b)``; the embedding's percentile may be missing.
+    """
+    better = F.least("lexical", "embedding")  # skips nulls
+    fields = F.concat_ws(" || ", "field_a", "field_b")
+    return units.agg(
+        F.count("*").alias("scored"), F.count_if("clean").alias("clean"), F.avg(F.col("clean").cast("double")).alias("clean_yield"),
+        F.countDistinct(F.when(F.col("clean"), fields)).alias("field_pairs"), F.avg(F.when(F.col("clean"), better)).alias("best_null"),
+    )
+
+
 def kappa(pairs: DataFrame) -> DataFrame:
     """Cohen's kappa of two boolean annotations ``(a, b)``."""
     x, y = F.col("a").cast("double"), F.col("b").cast("double")

@@ -219,6 +219,20 @@ def communities(edges: DataFrame, nodes: DataFrame, least_nodes: int = 10, least
     return placed.join(ranked, "c", "left").select("id", F.coalesce("community_id", F.lit(OTHER)).alias("community_id"))
 
 
+def communities_of(members: DataFrame, fingerprint: str, paper_id=None, community_id=None) -> DataFrame:
+    """Current rows of ``members(id, community_id, corpus_fingerprint)``: all, a paper's or a community's."""
+    out = members.filter(F.col("corpus_fingerprint") == fingerprint)
+    if paper_id is not None:
+        out = out.filter(F.col("id") == paper_id)
+    return out if community_id is None else out.filter(F.col("community_id") == community_id)
+
+
+def community_status(members: DataFrame, fingerprint: str) -> DataFrame:
+    """One row: whether any assignment is current, and how many communities these make, OTHER aside."""
+    own = F.col("corpus_fingerprint") == fingerprint
+    return members.agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("ready"), F.countDistinct(F.when(own & (F.col("community_id") != OTHER), F.col("community_id"))).alias("communities"))
+
+
 def inner_degree(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``(id, intra)``: one for both ends of each edge inside a community, repeated edges counted."""
     m = members.select("id", "community_id")
@@ -235,23 +249,29 @@ def shared_in_community(weights: DataFrame, members: DataFrame, least: float = 0
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("community_id", "rank", "term", "pairs")
 
 
-def community_summary(members: DataFrame, ranks: DataFrame, edges: DataFrame, tf: DataFrame, top: int = 5) -> DataFrame:
-    """Size, colour index, label, keywords and top papers of each community; OTHER last."""
+def community_summary(members: DataFrame, ranks: DataFrame, edges: DataFrame, tf: DataFrame, top: int = 5, only=None) -> DataFrame:
+    """Size, colour index, label, keywords and top papers of each community; OTHER last.
+
+    ``only``: that community alone.  Papers are then ranked for it alone; keywords
+    and the colour index still need the others' terms and sizes.
+    """
     from litforge.operators import corpus
 
+    everyone, wanted = members, F.lit(True) if only is None else F.col("community_id") == only
+    members = members.filter(wanted)
     intra = inner_degree(edges, members)
     hybrid = members.join(ranks, "id", "left").join(intra, "id").withColumn("score", F.coalesce("pagerank", F.lit(0.0)) * (F.col("intra") + 1))
     order = Window.partitionBy("community_id").orderBy(F.desc("score"), "id")
     best = hybrid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     papers = best.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("top_papers"))
-    terms = corpus.class_tfidf(tf, members.withColumnRenamed("id", "doc_id"), other=OTHER)
+    terms = corpus.class_tfidf(tf, everyone.withColumnRenamed("id", "doc_id"), other=OTHER).filter(wanted)
     words = terms.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    sizes = members.groupBy("community_id").agg(F.count("*").alias("size"))
-    out = sizes.join(papers, "community_id").join(words, "community_id", "left")
     other = F.col("community_id") == OTHER
+    sizes = everyone.groupBy("community_id").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("color_index", F.row_number().over(Window.orderBy(other, F.desc("size"), "community_id")) - 1)
+    out = sizes.join(papers, "community_id").join(words, "community_id", "left")
     label = F.when(other, "Other").when(F.coalesce(F.size("keywords"), F.lit(0)) <= 0, "Unlabeled").otherwise(F.array_join(F.slice("keywords", 1, 2), " "))
-    colour = F.row_number().over(Window.orderBy(other, F.desc("size"), "community_id")) - 1
-    return out.select("community_id", colour.alias("color_index"), "size", label.alias("label"), "keywords", "top_papers")
+    return out.select("community_id", "color_index", "size", label.alias("label"), "keywords", "top_papers")
 
 
 def export_graph(members: DataFrame, vectors: DataFrame, edges: DataFrame, fingerprint: str) -> DataFrame:

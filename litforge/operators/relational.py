@@ -22,14 +22,37 @@ def delete_stale(rows: DataFrame, fingerprint: str) -> tuple[DataFrame, int]:
     return rows.filter(current), rows.filter(~current).count()
 
 
-def insert_edges(cites: DataFrame, references: DataFrame, papers: DataFrame | None = None) -> DataFrame:
-    """``cites`` and the new edges; with ``papers``, only edges to known papers are kept."""
+def insert_edges(cites: DataFrame, references: DataFrame, papers: DataFrame | None = None, inverse: bool = False) -> DataFrame:
+    """``cites`` and the new edges; with ``papers``, only those whose listed paper (``dst``) is known are kept.
+
+    ``inverse``: the list names the papers that cite ``src``, so edges point the other way.
+    """
     new = references.filter("src IS NOT NULL AND dst IS NOT NULL")
     if papers is not None:
         new = new.join(papers.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    if inverse:
+        new = new.withColumns({"src": F.col("dst"), "dst": F.col("src")})
     return cites.unionByName(new.select(*cites.columns), allowMissingColumns=True)
 
 
+def replace_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with all rows of each key that ``new`` has replaced by the rows of ``new``, which may repeat a key."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+
+
+def built_edges(papers: DataFrame) -> DataFrame:
+    """Edges ``(src, dst)`` of ``papers(id, references)`` between papers of the table; repeated references stay."""
+    refs = papers.select(F.col("id").alias("src"), F.explode("references").alias("dst"))
+    ids = papers.select(F.col("id").alias("dst")).distinct()
+    return refs.join(ids, "dst", "left_semi").select("src", "dst")
+
+
+def zipped(names: Column, values: Column, n: int = 5) -> Column:
+    """The first n pairs of two parallel arrays; the shorter ends the list."""
+    both = F.arrays_zip(names.alias("name"), values.alias("value"))
+    return F.slice(both, F.lit(1), F.least(F.lit(n), F.size(names), F.size(values)))
+
+
 def dedup_first(rows: DataFrame, key: Column, *order: Column | str) -> DataFrame:
     """The first row of each key."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -18,22 +18,23 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
 
 
-def sections(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """A line a section; the last has the rest of the text too if ``whole``, which the SQL twins leave out."""
-    lines = docs(spark, d).select("doc_id", "source", F.split("text", "\n", 5 if whole else 6).alias("l"))
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    """A line a section; the last holds all the rest of the text."""
+    lines = docs(spark, d).select("doc_id", "source", F.split("text", "\n", 5).alias("l"))
     return lines.select("doc_id", "source", *[F.get("l", F.lit(i)).alias(s) for i, s in enumerate(SECTIONS)])
 
 
-def weights(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    s = sections(spark, d, whole)
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    s = sections(spark, d)
     return corpus.tfidf(corpus.section_tf(s), s.count())
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 TOKENS_SQL = r"list_transform(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda x: strlen(x) > 2), lambda x: lower(x))"
+SECTIONS_SQL = [*(f"coalesce(l[{i}], '')" for i in range(1, 5)), "array_to_string(l[5:], chr(10))"]
 TF_SQL = (
     "lines AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),\n"
-    "sec AS (" + " UNION ALL ".join(f"SELECT doc_id, {T.SECTION_WEIGHTS[s]}::DOUBLE AS w, coalesce(l[{i + 1}], '') AS t FROM lines" for i, s in enumerate(SECTIONS)) + "),\n"
+    "sec AS (" + " UNION ALL ".join(f"SELECT doc_id, {T.SECTION_WEIGHTS[s]}::DOUBLE AS w, {part} AS t FROM lines" for s, part in zip(SECTIONS, SECTIONS_SQL, strict=True)) + "),\n"
     "tot AS (SELECT doc_id, sum(w) AS tot FROM sec WHERE t <> '' GROUP BY doc_id),\n"
     f"tok AS (SELECT doc_id, w, list_filter({TOKENS_SQL.format('t')}, lambda x: NOT list_contains({STOP_SQL}, x)) AS a FROM sec WHERE t <> ''),\n"
     "ex AS (SELECT doc_id, w, len(a) AS n, unnest(a) AS term FROM tok),\n"
@@ -101,23 +102,23 @@ _where = f"WHERE length(term) > 2 AND NOT list_contains({STOP_SQL}, term)"
 
 @register(
     "lexical_tfidf_terms",
-    f"WITH {RAW_SQL.format(pattern=LEXICAL, where=_where)}, w AS (SELECT doc_id, term, c * (ln((n + 1.0) / (df + 1)) + 1) AS w FROM counts JOIN dfs USING (term), n), weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w), {TOP_SQL} SELECT doc_id, rank::INTEGER AS rank, {r_sql('weight')} AS weight FROM top",
+    f"WITH {RAW_SQL.format(pattern=LEXICAL, where=_where)}, w AS (SELECT doc_id, term, c * (ln((n + 1.0) / (df + 1)) + 1) AS w FROM counts JOIN dfs USING (term), n), weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w), {TOP_SQL} SELECT doc_id, rank::INTEGER AS rank, term, {r_sql('weight')} AS weight FROM top",
 )
 def lexical_tfidf_terms(spark, d):
     w = corpus.raw_tfidf(docs(spark, d), LEXICAL, True)
-    return corpus.top_terms(w, 5).select("doc_id", "rank", R(F.col("weight")).alias("weight"))
+    return corpus.top_terms(w, 5).select("doc_id", "rank", "term", R(F.col("weight")).alias("weight"))
 
 
 @register(
     "builder_tfidf_terms",
-    f"WITH {RAW_SQL.format(pattern='[a-z]{3,}', where='')}, weights AS (SELECT doc_id, term, c / sum(c) OVER (PARTITION BY doc_id) * ln(n / (1.0 + df)) AS weight FROM counts JOIN dfs USING (term), n), {TOP_SQL.replace('<= 5', '<= 50')} SELECT doc_id, rank::INTEGER AS rank, {r_sql('weight')} AS weight FROM top",
+    f"WITH {RAW_SQL.format(pattern='[a-z]{3,}', where='')}, weights AS (SELECT doc_id, term, c / sum(c) OVER (PARTITION BY doc_id) * ln(n / (1.0 + df)) AS weight FROM counts JOIN dfs USING (term), n), {TOP_SQL.replace('<= 5', '<= 50')} SELECT doc_id, rank::INTEGER AS rank, term, {r_sql('weight')} AS weight FROM top",
 )
 def builder_tfidf_terms(spark, d):
     w = corpus.raw_tfidf(docs(spark, d), "[a-z]{3,}", False)
-    return corpus.top_terms(w, 50).select("doc_id", "rank", R(F.col("weight")).alias("weight"))
+    return corpus.top_terms(w, 50).select("doc_id", "rank", "term", R(F.col("weight")).alias("weight"))
 
 
-BM25_WORDS = ["the", "thion", "erthe", "est", "src1"]
+BM25_WORDS = ["the", "thion", "Érthe", "est", "réeau", "src1"]
 BM25_FIELDS = {"title": 2.0, "summary": 1.5, "authors": 1.0}
 _title = "string_split(coalesce(text, ''), chr(10))[1]"
 
@@ -126,19 +127,32 @@ def _bm25_sql() -> str:
     parts = []
     for field, weight in BM25_FIELDS.items():
         per = " UNION ALL ".join(
-            f"SELECT doc_id, {weight} * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM (SELECT doc_id, len(list_filter(t, lambda x: x = '{w}')) AS tf, len(t) AS dl, count(*) OVER () AS n, avg(len(t)) OVER () AS avgdl, sum((list_contains(t, '{w}'))::INT) OVER () AS df FROM f_{field}) WHERE tf > 0"
+            f"SELECT doc_id, {weight} * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM (SELECT doc_id, len(list_filter(t, lambda x: x = strip_accents('{w.lower()}'))) AS tf, len(t) AS dl, count(*) OVER () AS n, avg(len(t)) OVER () AS avgdl, sum((list_contains(t, strip_accents('{w.lower()}')))::INT) OVER () AS df FROM f_{field}) WHERE tf > 0"
             for w in BM25_WORDS
         )
         parts.append(per)
     base = {"title": _title, "summary": "coalesce(text, '')", "authors": "coalesce(source, '')"}
-    ctes = ", ".join(f"f_{f} AS (SELECT doc_id, regexp_extract_all(lower({base[f]}), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents)" for f in BM25_FIELDS)
-    return f"WITH {ctes}, s AS ({' UNION ALL '.join(parts)}) SELECT doc_id, {r_sql('sum(s)')} AS score FROM s GROUP BY doc_id"
+    ctes = ", ".join(f"f_{f} AS (SELECT doc_id, regexp_extract_all(strip_accents(lower({base[f]})), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents)" for f in BM25_FIELDS)
+    return f"{ctes}, s AS ({' UNION ALL '.join(parts)}), found AS (SELECT doc_id, score, row_number() OVER (ORDER BY floor(score * 1e9 + 0.5) DESC, doc_id) AS rank FROM (SELECT doc_id, sum(s) AS score FROM s GROUP BY doc_id))"
+
+
+BM25_SQL = _bm25_sql()
 
 
-@register("bm25_search", _bm25_sql())
+def bm25_rows(spark, d):
+    return docs(spark, d).select("doc_id", F.get(F.split("text", "\n", 2), F.lit(0)).alias("title"), F.col("text").alias("summary"), F.col("source").alias("authors"))
+
+
+@register("bm25_search", f"WITH {BM25_SQL} SELECT doc_id, rank::INTEGER AS rank, {r_sql('score')} AS score FROM found WHERE rank <= 20")
 def bm25_search(spark, d):
-    rows = docs(spark, d).select("doc_id", F.get(F.split("text", "\n", 2), F.lit(0)).alias("title"), F.col("text").alias("summary"), F.col("source").alias("authors"))
-    return corpus.bm25(rows, " ".join(BM25_WORDS), BM25_FIELDS, limit=None).select("doc_id", R(F.col("score")).alias("score"))
+    return corpus.bm25(bm25_rows(spark, d), " ".join(BM25_WORDS), BM25_FIELDS, limit=20).select("doc_id", "rank", R(F.col("score")).alias("score"))
+
+
+@register("searched_papers", f"WITH {BM25_SQL} SELECT doc_id, lang, length(coalesce(text, '')) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM found WHERE rank <= 100)")
+def searched_papers(spark, d):
+    """The paper table filtered by a search: its hundred best rows."""
+    papers = docs(spark, d).select("doc_id", "lang", F.length("text").cast("bigint").alias("n"))
+    return corpus.searched(papers, bm25_rows(spark, d), " ".join(BM25_WORDS), BM25_FIELDS)
 
 
 PAIRS_SQL = "norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY doc_id), unit AS (SELECT doc_id, term, weight / norm AS u FROM weights JOIN norms USING (doc_id) WHERE norm > 0), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.u * y.u) AS score FROM unit x JOIN unit y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY 1, 2)"
@@ -190,13 +204,6 @@ def class_tfidf_terms(spark, d):
     return out.select(F.col("community_id").alias("source"), "rank", "term", R(F.col("weight")).alias("weight"))
 
 
-@register("community_labels", None)
-def community_labels(spark, d):
-    s = sections(spark, d, whole=True)
-    terms = corpus.class_tfidf(corpus.section_tf(s), s.select("doc_id", F.col("source").alias("community_id")), 10)
-    return corpus.community_label(terms)
-
-
 @register("section_profile", "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) SELECT doc_id, least(5, len(l)) AS n_sections, len(l) < 2 AS is_partial FROM l")
 def section_profile(spark, d):
     s = sections(spark, d)
@@ -218,12 +225,12 @@ PHRASES = ["of the", "in the", "and the", "de la", "der die"]
 @register(
     "phrase_hits",
     "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS t FROM documents), h AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, instr(t, '{p}') AS place, {i} AS rank, '{p}' AS phrase FROM t" for i, p in enumerate(PHRASES))
-    + ") SELECT doc_id, place, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, rank) AS n FROM h WHERE place > 0) WHERE n = 1",
+    + " UNION ALL ".join(f"SELECT doc_id, t, instr(t, '{p}') AS place, {i} AS rank, '{p}' AS phrase FROM t" for i, p in enumerate(PHRASES))
+    + ") SELECT doc_id, place, phrase, trim(regexp_extract(substr(t, 1, place - 1), '[^.!?]*$') || regexp_extract(substr(t, place), '^[^.!?]*[.!?]?')) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, rank) AS n FROM h WHERE place > 0) WHERE n = 1",
 )
 def phrase_hits(spark, d):
     hit = docs(spark, d).select("doc_id", T.first_phrase(F.col("text"), PHRASES).alias("h")).filter("h IS NOT NULL")
-    return hit.select("doc_id", F.col("h.at").cast("bigint").alias("place"), "h.phrase")
+    return hit.select("doc_id", F.col("h.at").cast("bigint").alias("place"), "h.phrase", "h.snippet")
 
 
 @register("keyword_palette", f"WITH {TF_SQL}, {TOP_SQL}, v AS (SELECT term, var_pop(weight) AS variance FROM top GROUP BY term HAVING count(*) >= 2) SELECT (row_number() OVER (ORDER BY floor(variance * 1e9 + 0.5) DESC, term) - 1)::INTEGER AS slot_index, term, {r_sql('variance')} AS variance FROM v ORDER BY 1 LIMIT 8")
@@ -238,12 +245,6 @@ def average_keywords(spark, d):
     return c.agg(R(F.avg(F.least("n", F.lit(5)))).alias("average"))
 
 
-@register("prompt_lengths", None)
-def prompt_lengths(spark, d):
-    s = sections(spark, d, whole=True)
-    return s.select("doc_id", F.sha2(T.prompt_sections({k: F.col(k) for k in SECTIONS}), 256).alias("prompt_sha"))
-
-
 @register("tag_signatures", "WITH t AS (SELECT DISTINCT doc_id, unnest([lang, source]) AS tag FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), df AS (SELECT tag, count(*) AS df FROM t GROUP BY tag) SELECT tag, df, floor((ln((1.0 + n) / (1 + df)) + 1) * 1e6 + 0.5) / 1e6 AS idf FROM df, n")
 def tag_signatures(spark, d):
     t = docs(spark, d).select("doc_id", F.explode(F.array("lang", "source")).alias("tag")).distinct()

@@ -24,11 +24,6 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return table_queries.citations(spark, d).select("src", "dst")
 
 
-def all_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The whole graph, for queries without a SQL twin."""
-    return table_queries.all_citations(spark, d).select("src", "dst")
-
-
 @register("bfs_depth", f"WITH RECURSIVE {CITES_SQL}, e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM cites UNION ALL SELECT dst, src FROM cites)), r(id, depth) USING KEY (id) AS (SELECT (SELECT min(src) FROM cites) AS id, 0 AS depth UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r AS seen ON seen.id = e.dst WHERE seen.id IS NULL GROUP BY e.dst) SELECT id, depth::INTEGER AS depth FROM r")
 def bfs_depth(spark, d):
     e = edges(spark, d)
@@ -62,30 +57,26 @@ def giant_component(spark, d):
     return graph.giant_component(graph.connected_components(edges(spark, d), nodes(spark, d)))
 
 
-@register(
-    "pagerank",
+PAGERANK_SQL = (
     f"WITH RECURSIVE {CITES_SQL}, e AS (SELECT DISTINCT src, dst FROM cites), o AS (SELECT src, count(*) AS out FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM part), "
     "p(i, id, r) AS (SELECT 0, p_partkey, 1 / n FROM part, n UNION ALL SELECT i + 1, id, r FROM (SELECT c.i, c.id, 0.15 / n + 0.85 * (coalesce(g.s, 0) + l.lost / n) AS r FROM p c, n, "
-    "(SELECT coalesce(sum(q.r), 0) AS lost FROM p q ANTI JOIN o ON o.src = q.id) l LEFT JOIN (SELECT e.dst, sum(q.r / o.out) AS s FROM p q JOIN e ON e.src = q.id JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = c.id WHERE c.i < 10)) "
-    f"SELECT id, {r_sql('1000 * r')} AS pagerank FROM p WHERE i = 10",
+    "(SELECT coalesce(sum(q.r), 0) AS lost FROM p q ANTI JOIN o ON o.src = q.id) l LEFT JOIN (SELECT e.dst, sum(q.r / o.out) AS s FROM p q JOIN e ON e.src = q.id JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = c.id WHERE c.i < 50))"
 )
-def pagerank(spark, d):
-    return graph.pagerank(edges(spark, d), nodes(spark, d), 10).select("id", R(1000 * F.col("pagerank")).alias("pagerank"))
 
 
-@register("top_pagerank", None)
-def top_pagerank(spark, d):
-    return graph.pagerank(all_edges(spark, d), nodes(spark, d), 50).select("id", R(F.col("pagerank")).alias("pagerank")).orderBy(F.desc("pagerank"), "id").limit(20)
+@register("pagerank", PAGERANK_SQL + f" SELECT id, {r_sql('1000 * r')} AS pagerank FROM p WHERE i = 50")
+def pagerank(spark, d):
+    return graph.pagerank(edges(spark, d), nodes(spark, d)).select("id", R(1000 * F.col("pagerank")).alias("pagerank"))
 
 
 @register("betweenness", None)
 def betweenness(spark, d):
-    return graph.betweenness(all_edges(spark, d), nodes(spark, d)).select("id", R(F.col("betweenness")).alias("betweenness"))
+    return graph.betweenness(edges(spark, d), nodes(spark, d)).select("id", R(F.col("betweenness")).alias("betweenness"))
 
 
 @register("communities", None)
 def communities(spark, d):
-    return graph.communities(all_edges(spark, d), nodes(spark, d))
+    return graph.communities(edges(spark, d), nodes(spark, d))
 
 
 MEMBERS_SQL = "m AS (SELECT p_partkey AS id, p_partkey % 7 AS community_id FROM part)"
@@ -114,7 +105,7 @@ def shared_in_community(spark, d):
 
 def small_parts(spark, d):
     """Sections and edges of documents, linked to half their id."""
-    s = corpus_queries.sections(spark, d, whole=True)
+    s = corpus_queries.sections(spark, d)
     e = s.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"))
     return s, e, s.select(F.col("doc_id").alias("id"))
 
@@ -131,12 +122,12 @@ def community_summary(spark, d):
 def graph_export(spark, d):
     s, e, n = small_parts(spark, d)
     m = s.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(6)).alias("community_id"))
-    return graph.export_graph(m, corpus.top_terms(corpus_queries.weights(spark, d, whole=True), 5), e, "corpus")
+    return graph.export_graph(m, corpus.top_terms(corpus_queries.weights(spark, d), 5), e, "corpus")
 
 
 @register("graph_metrics", None)
 def graph_metrics(spark, d):
-    out = graph.metrics(all_edges(spark, d), nodes(spark, d))
+    out = graph.metrics(edges(spark, d), nodes(spark, d))
     return out.select("id", R(F.col("pagerank")).alias("pagerank"), R(F.col("betweenness")).alias("betweenness"))
 
 
@@ -216,7 +207,7 @@ def force_layout(spark, d):
 
 @register("crawl", None)
 def crawl(spark, d):
-    e = all_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    e = edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     seed = e.agg(F.min("src")).first()[0]
     return queue.crawl(e, nodes(spark, d).select(F.col("id").cast("string").alias("id")), seed, 3)[0].select("paper_id", "depth_level", "status", "retry_count")
 

@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("corpus_queries", "table_queries", "graph_queries", "evaluation_queries")
+MODULES = ("corpus_queries", "table_queries", "graph_queries", "evaluation_queries", "lookup_queries", "source_queries")
 
 
 def _load() -> None:

@@ -77,6 +77,14 @@ def first_success(sources: list[DataFrame], key: str = "id") -> DataFrame:
     return best.select(key, "r.*")
 
 
+def stored_papers(papers: DataFrame, cites: DataFrame) -> DataFrame:
+    """The local database as a source: ``papers(id, ...)`` with their stored ``references``, sorted."""
+    known = papers.select("id").distinct()
+    refs = cites.join(known.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("references"))
+    kind = dict(refs.dtypes)["references"]
+    return papers.join(refs, "id", "left").withColumn("references", F.coalesce("references", F.array().cast(kind)))
+
+
 class _Tree(HTMLParser):
     """Texts of the elements that a test picks, with the italics and links inside."""
 

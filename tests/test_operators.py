@@ -46,7 +46,7 @@ def test_model_gate(spark):
     d = spark.createDataFrame([("x",), ("no way",)], "context string")
     say = F.pandas_udf(lambda s: pd.Series(["No" if "no" in x else "yes" for x in s]), "string")
     assert rows(corpus.verified(d, F.col("context"), say).select("context"), "context") == [("x",)]
-    assert corpus.verified(d, F.col("context")).count() == 2
+    assert corpus.verified(d, F.col("context")).count() == 0
 
 
 def chain(spark):
