@@ -114,7 +114,7 @@ def contradiction_contexts(spark, d):
     """What a model would be asked about each contradiction candidate, as a digest."""
     w = weights(spark, d)
     claims = table(spark, d, "labels").join(docs(spark, d), "doc_id").select("doc_id", F.array(F.struct(F.when(F.col("quality") == 1, "strong").otherwise("weak").alias("strength"), F.col("source").alias("text"))).alias("findings"))
-    marks = claims.select("doc_id", *[F.exists("findings", lambda f, s=s: T.strength(f["strength"]) == s).alias(s) for s in ("strong", "weak")])
+    marks = claims.select("doc_id", *[F.array_contains(F.transform("findings", lambda f: T.strength(f["strength"])), s).alias(s) for s in ("strong", "weak")])
     found = corpus.contradictions(corpus.cosine_pairs(w, 0.3), marks).select("a", "b")
     pairs = found.join(corpus.shared_terms(w, 0.1), ["a", "b"], "left")
     return corpus.contradiction_context(claims, pairs).select("a", "b", F.sha2("context", 256).alias("context"))
@@ -160,7 +160,7 @@ def _area(score: str) -> str:
     return f"(SELECT (sum(r) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2.0) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive)) FROM (SELECT positive, avg(n) OVER (PARTITION BY s) AS r FROM (SELECT {score} AS s, positive, row_number() OVER (ORDER BY {score}) AS n FROM s)))"
 
 
-@register("delta_auc", f"WITH s AS (SELECT n_chars AS method, doc_id % 97 AS symmetric, quality = 1 AS positive FROM labels JOIN documents USING (doc_id) WHERE length(source) = 4 AND doc_id % 97 > 0) SELECT count(*) FILTER (positive) AS positives, count(*) FILTER (NOT positive) AS negatives, {r_sql(_area('method'))} AS auc_method, {r_sql(_area('symmetric'))} AS auc_symmetric, {r_sql(_area('method') + ' - ' + _area('symmetric'))} AS delta FROM s")
+@register("delta_auc", f"WITH s AS (SELECT n_chars AS method, doc_id % 97 AS sym, quality = 1 AS positive FROM labels JOIN documents USING (doc_id) WHERE length(source) = 4 AND doc_id % 97 > 0) SELECT count(*) FILTER (positive) AS positives, count(*) FILTER (NOT positive) AS negatives, {r_sql(_area('method'))} AS auc_method, {r_sql(_area('sym'))} AS auc_symmetric, {r_sql(_area('method') + ' - ' + _area('sym'))} AS delta FROM s")
 def delta_auc(spark, d):
     """Long source names stand for like objects; a score of 0 for a missing one."""
     rows = evaluation_queries.scored(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id")

@@ -163,13 +163,12 @@ def authors_and_titles(spark, d):
     return p.select(F.col("k").alias("id"), cut["author"].alias("author"), cut["title"].alias("title"), plain["author"].alias("plain_author"), plain["title"].alias("plain_title"))
 
 
-@register("field_labels", "SELECT p_partkey AS id, split_part(p_name, ' ', 1) = split_part(p_type, ' ', 1) OR p_size > 20 AS same FROM part")
+@register("field_labels", "SELECT p_partkey AS id, p_size > 20 AS same FROM part")
 def field_labels(spark, d):
-    """Labels that share two of three words, or one of two."""
+    """Labels that share both words of the shorter one, or one of its two."""
     p = parts(spark, d)
-    first, other = F.lower(F.substring_index("name", " ", 1)), F.lower(F.substring_index("kind", " ", 1))
-    x, y = F.concat(F.lit("alpha-beta "), first), F.when(F.col("size") > 20, F.concat(F.lit("Beta, alpha; gamma "), other)).otherwise(F.concat(F.lit("the delta "), other))
-    return p.select(F.col("k").alias("id"), (T.labels_match(x, y) | (first == other)).alias("same"))
+    other = F.when(F.col("size") > 20, F.concat(F.lit("Beta, alpha; gamma "), "kind")).otherwise(F.lit("the Beta of delta"))
+    return p.select(F.col("k").alias("id"), T.labels_match(F.lit("alpha-beta"), other).alias("same"))
 
 
 @register("strength_classes", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'strong' WHEN event_id % 4 = 1 THEN 'weak' WHEN event_id % 4 = 2 THEN 'strong' END AS strength FROM events")
