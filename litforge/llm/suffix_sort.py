@@ -1,7 +1,7 @@
 """External induced sorting of the suffixes of a shard, with common prefixes.
 
 The suffixes that begin at local minima (an S-type character after an L-type
-one) are named by a first induction; the string of their names is sorted by the
+one) are named in order of the strings up to the next one; the string of their names is sorted by the
 same procedure, level by level, until all names differ; and their order induces
 that of all others in two sweeps: L-type suffixes in ascending, then S-type ones
 in descending order of their first character.
@@ -37,7 +37,7 @@ from pyarrow import fs
 
 #: More names than these are written as two digits each; strings of names up to DIRECT long are sorted directly.
 ALPHABET = 256
-DIRECT = 60_000
+DIRECT = 300_000
 #: A tuple is an integer: the position above, the common prefix in the lowest bits.
 BITS = 16
 LCP = np.int64((1 << BITS) - 1)
@@ -226,7 +226,7 @@ class _Sweep:
 
     def meet(self, batch: np.ndarray, edge: bool = False) -> None:
         """Set the first common prefix of a batch; ``edge``: its tuples come from elsewhere than those before."""
-        if self.cap and (self.fresh or edge):
+        if self.fresh or edge:
             at = int(batch[0]) >> BITS
             batch[0] = (at << BITS) | (0 if self.fresh else self._pair(self.last, at))
         self.fresh, self.last = False, int(batch[-1]) >> BITS
@@ -244,47 +244,39 @@ class _Sweep:
         before = at[chosen] - 1
         right = self.small[before] == self.wanted
         chosen, before = chosen[right], before[right]
-        lows = lcp.astype(np.int32) if self.cap else None
+        lows = lcp.astype(np.int32)
         if not len(before):
-            if self.cap:
-                np.minimum(self.least, int(lows.min()), out=self.least)
+            np.minimum(self.least, int(lows.min()), out=self.least)
             return
         keys = self.t[before]
         order = np.argsort(keys, kind="stable")
         places, before, keys = chosen[order], before[order], keys[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         tails = np.append(heads[1:], len(keys)) - 1
         kinds = keys[heads]
-        out = before << BITS
-        if self.cap:
-            # The least from after the one before in the bucket to this one; the first of a bucket goes back to the batch's start.
-            spans = np.empty(2 * len(places), np.int64)
-            spans[1::2] = places + 1
-            spans[2::2] = places[:-1] + 1
-            spans[2 * heads] = 0
-            padded = np.append(lows, np.int32(self.cap))
-            found = np.minimum.reduceat(padded, spans)[::2]
-            found[heads] = np.minimum(found[heads], self.least[kinds])
-            out |= np.minimum(found + 1, self.cap)
-            later = np.minimum.accumulate(padded[::-1])[::-1]
-            np.minimum(self.least, int(lows.min()), out=self.least)
-            self.least[kinds] = later[places[tails] + 1]
+        # The least from after the one before in the bucket to this one; the first of a bucket goes back to the batch's start.
+        spans = np.empty(2 * len(places), np.int64)
+        spans[1::2] = places + 1
+        spans[2::2] = places[:-1] + 1
+        spans[2 * heads] = 0
+        padded = np.append(lows, np.int32(self.cap))
+        found = np.minimum.reduceat(padded, spans)[::2]
+        found[heads] = np.minimum(found[heads], self.least[kinds])
+        out = (before << BITS) | np.minimum(found + 1, self.cap)
+        later = np.minimum.accumulate(padded[::-1])[::-1]
+        np.minimum(self.least, later[0], out=self.least)
+        self.least[kinds] = later[places[tails] + 1]
         self.queue.send(keys, out)
 
 
-def _induce(t: np.ndarray, small: np.ndarray, minima: np.ndarray, common: np.ndarray | None, size: int, cap: int, scratch: Scratch) -> BulkQueue:
+def _induce(t: np.ndarray, small: np.ndarray, minima: np.ndarray, common: np.ndarray, size: int, cap: int, scratch: Scratch) -> BulkQueue:
     """All suffixes from the ordered local minima: buckets of tuples in descending order.
 
-    ``common``: of each minimum with the one before.  ``cap`` 0 leaves common
-    prefixes out, as for naming.
+    ``common``: of each minimum with the one before.
     """
     up = _Sweep(t, small, size, cap, scratch, False)
     large = BulkQueue(size, scratch)
     first = t[minima]
-    if common is None:  # not in order yet: by first character only
-        order = np.argsort(first, kind="stable")
-        minima, first = minima[order], first[order]
     bounds = np.searchsorted(first, np.arange(size + 1))
     for c in range(size):
         up.open()
@@ -295,7 +287,7 @@ def _induce(t: np.ndarray, small: np.ndarray, minima: np.ndarray, common: np.nda
             up.send(batch)
         a, b = int(bounds[c]), int(bounds[c + 1])
         if a < b:
-            batch = (minima[a:b] << BITS) | (common[a:b] if common is not None and cap else 0)
+            batch = (minima[a:b] << BITS) | common[a:b]
             up.meet(batch, edge=True)
             up.send(batch)
     down = _Sweep(t, small, size, cap, scratch, True)
@@ -324,25 +316,49 @@ def _induce(t: np.ndarray, small: np.ndarray, minima: np.ndarray, common: np.nda
     return out
 
 
-def _names(t: np.ndarray, minima: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-    """Rank from 1 of the substring from each local minimum to the next, equal ones alike."""
-    ends = np.append(minima[1:], minima[-1])  # the last is the sentinel itself
-    index = np.searchsorted(minima, ranked)
-    length = (ends - minima)[index]
-    equal = np.zeros(len(ranked), bool)
-    live = np.flatnonzero(length[1:] == length[:-1]) + 1
-    a, b, left = ranked[live - 1], ranked[live], length[live]
-    step = 0
+def _ranks(t: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many of the strings of ``t`` are smaller than each of them, equal ones alike.
+
+    Sorted by several characters at a time; only those that are still alike go on.
+    One that begins with all of another is the smaller: beyond its end a string
+    is larger than any character.
+    """
+    n, m = len(t), len(starts)
+    beyond = int(t.max()) + 1
+    bits = beyond.bit_length()
+    step = 62 // bits
+    rank = np.zeros(m, np.int64)  # how many are smaller
+    live, at = np.arange(m), 0
     while len(live):
-        ok = t[a + step] == t[b + step]
-        live, a, b, left = live[ok], a[ok], b[ok], left[ok]
-        whole = left == step
-        equal[live[whole]] = True
-        live, a, b, left = live[~whole], a[~whole], b[~whole], left[~whole]
-        step += 1
-    names = np.empty(len(ranked), np.int64)
-    names[index] = np.cumsum(~equal)
-    return names
+        key = np.zeros(len(live), np.int64)
+        for j in range(at, at + step):
+            symbol = t[np.minimum(starts[live] + j, n - 1)].astype(np.int64)
+            key = (key << bits) | np.where(j < length[live], symbol, beyond)
+        order = np.argsort(key, kind="stable") if at == 0 else np.lexsort((key, rank[live]))
+        live, key = live[order], key[order]
+        group = rank[live]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+        place = np.arange(len(live))
+        start = place[new][np.cumsum(new) - 1]  # where a member's new group begins
+        if at:
+            old = np.concatenate(([True], group[1:] != group[:-1]))
+            start = group + start - place[old][np.cumsum(old) - 1]
+        rank[live] = start
+        at += step
+        heads = np.flatnonzero(new)
+        longest = np.maximum.reduceat(length[live], heads)
+        sizes = np.diff(np.append(heads, len(live)))
+        live = live[np.repeat((sizes > 1) & (longest > at), sizes)]
+    return rank
+
+
+def _names(t: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """Rank from 1 of the substring from each local minimum up to the next.
+
+    Where one of them begins with all of another it goes on with an L-type, so it is the smaller.
+    """
+    length = np.append(np.diff(minima) + 1, 1)  # the last is the sentinel itself
+    return np.unique(_ranks(t, minima, length), return_inverse=True)[1] + 1
 
 
 def _order_of_minima(t: np.ndarray, minima: np.ndarray, names: np.ndarray, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -379,16 +395,7 @@ def _levels(t: np.ndarray, cap: int, scratch: Scratch) -> BulkQueue:
     minima = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     common = np.zeros(len(minima), np.int64)
     if len(minima) > 1:
-        rough = _induce(t, small, minima, None, size, 0, scratch)
-        is_minimum = np.zeros(n, bool)
-        is_minimum[minima] = True
-        ranked = []
-        for c in range(size):
-            while (piece := rough.take_last(c)) is not None:
-                at = piece[::-1] >> BITS
-                ranked.append(at[is_minimum[at]])
-        names = _names(t, minima, np.concatenate(ranked))
-        del rough, ranked, is_minimum
+        names = _names(t, minima)
         order, whole = _order_of_minima(t, minima, names, cap, scratch)
         # Characters of the names in common, then those of the first names that differ.
         before = np.concatenate((order[:1], order[:-1]))
@@ -414,8 +421,7 @@ def suffix_sort(text: np.ndarray, cap: int, scratch: Scratch | None = None) -> t
     if cap >= LCP:
         raise ValueError("common prefixes must be shorter")
     if len(text) <= DIRECT:
-        width = text.astype(">u4").tobytes()
-        order = np.array(sorted(range(len(text)), key=lambda i: width[4 * i : 4 * (i + cap)]), np.int64)
+        order = np.argsort(_ranks(text, np.arange(len(text)), np.minimum(cap, len(text) - np.arange(len(text)))), kind="stable")
         return order, np.concatenate((np.zeros(1, np.int64), _common(text, order[:-1], order[1:], cap)))
     found = _levels(text, cap, scratch or Scratch(None, 0))
     pieces = []
