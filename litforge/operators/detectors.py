@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litforge.session import materialize
+
 
 def laplacian(n: int, pairs: list[tuple[int, int]], weights: np.ndarray | None = None) -> np.ndarray:
     m = np.zeros((n, n))
@@ -149,103 +151,194 @@ def precision_at(ranked: list, truth: set, k: int = 10) -> float:
 
 
 def raf_closure(reactions: dict, food: set) -> set:
-    """Largest set of reactions whose reactants come from the food by the set and that it catalyses."""
-    kept = dict(reactions)
+    """The largest catalysed set: all reactants and some catalyst are food or a product of the set itself."""
+    kept = set(reactions)
     while True:
-        reach, grown = set(food), True
-        while grown:
-            new = {p for r in kept.values() if r["reactants"] <= reach for p in r["products"]} - reach
-            reach |= new
-            grown = bool(new)
-        left = {k: r for k, r in kept.items() if r["reactants"] <= reach and r["catalysts"] & reach}
-        if len(left) == len(kept):
-            return set(left)
+        there = food.union(*(reactions[k]["products"] for k in kept))
+        left = {k for k in kept if reactions[k]["reactants"] <= there and reactions[k]["catalysts"] & there}
+        if left == kept:
+            return kept
         kept = left
 
 
+def closed_reactions(reactions: DataFrame, food: list[str]) -> DataFrame:
+    """The rows of ``raf_closure`` over all sources of ``reactions(id, reactants, catalysts, products, ...)``.
+
+    Each round drops the reactions that miss a reactant or have no catalyst; every
+    round is written.  Ids are taken to be unique.
+    """
+    given = reactions.sparkSession.createDataFrame([(f,) for f in food], "m string")
+    kept, n = materialize(reactions, "raf-0"), reactions.count()
+    while True:
+        there = kept.select(F.explode("products").alias("m")).unionByName(given).distinct()
+        missing = kept.select("id", F.explode("reactants").alias("m")).join(there, "m", "left_anti").select("id").distinct()
+        helped = kept.select("id", F.explode("catalysts").alias("m")).join(there, "m", "left_semi").select("id").distinct()
+        kept = materialize(kept.join(missing, "id", "left_anti").join(helped, "id", "left_semi").select(*reactions.columns), "raf")
+        left = kept.count()
+        if left == n:
+            return kept
+        n = left
+
+
+def _sides(reactions: dict, food: set) -> list[set]:
+    """Sets that grow each from one reaction that needs food only, by reactions that use what the set made."""
+    sides = []
+    for seed in (k for k in reactions if reactions[k]["reactants"] <= food):
+        side, made = {seed}, set(reactions[seed]["products"])
+        grown = True
+        while grown:
+            grown = False
+            for k, r in reactions.items():
+                needs = r["reactants"] - food
+                if k not in side and needs and needs <= made and r["catalysts"] & (food | made):
+                    side.add(k)
+                    made |= r["products"]
+                    grown = True
+        sides.append((side, made))
+    alone = set(reactions).difference(*(side for side, _ in sides))
+    there = food.union(*(made for _, made in sides))
+    out = [set(side) for side, _ in sides]
+    for k in alone:
+        r = reactions[k]
+        if r["reactants"] <= there and r["catalysts"] & there:
+            for mine, (_, made) in zip(out, sides, strict=True):
+                if (r["reactants"] - food) & made:
+                    mine.add(k)
+    return out
+
+
+def _sharing(reactions: dict) -> list[set]:
+    """Reactions that are joined by what they use or make."""
+    groups: list[tuple[set, set]] = []
+    for k, r in reactions.items():
+        ids, things = {k}, r["reactants"] | r["catalysts"] | r["products"]
+        rest = []
+        for other, held in groups:
+            if held & things:
+                ids, things = ids | other, things | held
+            else:
+                rest.append((other, held))
+        groups = [*rest, (ids, things)]
+    return [ids for ids, _ in groups]
+
+
 def minimal_rafs(reactions: dict, food: set) -> list[set]:
-    """Irreducible sets: each reaction of the closure in turn is kept out if what is left still closes."""
-    found: list[set] = []
-    full = raf_closure(reactions, food)
-    for start in sorted(full):
-        current = set(full)
-        for k in sorted(full - {start}) + [start]:
-            if k in current:
-                rest = raf_closure({x: reactions[x] for x in current - {k}}, food)
-                if rest and (start in rest or k == start):
-                    current = rest
-        if current not in found:
-            found.append(current)
-    return sorted(found, key=lambda s: (len(s), sorted(s)))
+    """The sets that a closure of one source is made of.
+
+    With two or more reactions that need food only, one set grows from each, and a
+    reaction that none of them reaches but all together do belongs to each set
+    that makes one of its reactants.  Otherwise reactions that share anything are
+    one set.
+    """
+    table = dict(sorted(reactions.items()))
+    found = _sides(table, food) if sum(r["reactants"] <= food for r in table.values()) >= 2 else _sharing(table)
+    return sorted(found, key=lambda s: (min(s), len(s), sorted(s)))
+
+
+def _table(g: pd.DataFrame) -> dict:
+    return {r.id: {"reactants": set(r.reactants), "catalysts": set(r.catalysts), "products": set(r.products)} for r in g.itertuples()}
 
 
 def raf_sets(reactions: DataFrame, food: list[str]) -> DataFrame:
-    """``(source, raf, id)``: the minimal sets of each source of ``reactions(id, reactants, catalysts, products, source)``."""
+    """``(source, raf, id)``: the sets of each source of ``reactions(id, reactants, catalysts, products, source)`` within the closure of all."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        table = {r.id: {"reactants": set(r.reactants), "catalysts": set(r.catalysts), "products": set(r.products)} for r in g.itertuples()}
-        rows = [(g["source"].iloc[0], n, k) for n, s in enumerate(minimal_rafs(table, set(food))) for k in sorted(s)]
+        rows = [(g["source"].iloc[0], n, k) for n, s in enumerate(minimal_rafs(_table(g), set(food))) for k in sorted(s)]
         return pd.DataFrame(rows, columns=["source", "raf", "id"])
 
-    return reactions.groupBy("source").applyInPandas(run, "source string, raf long, id string")
+    return closed_reactions(reactions, food).groupBy("source").applyInPandas(run, "source string, raf long, id string")
 
 
-def raf_bridges(reactions: DataFrame, rafs: DataFrame) -> DataFrame:
-    """Reactions that use what a set of one source makes and make what a set of another uses."""
-    made = rafs.join(reactions, ["source", "id"]).select(F.col("source").alias("from_source"), F.explode("products").alias("m")).distinct()
-    used = rafs.join(reactions, ["source", "id"]).select(F.col("source").alias("to_source"), F.explode(F.concat("reactants", "catalysts")).alias("m")).distinct()
-    takes = reactions.select("id", F.explode("reactants").alias("m")).join(made, "m").select("id", "from_source").distinct()
-    gives = reactions.select("id", F.explode("products").alias("m")).join(used, "m").select("id", "to_source").distinct()
-    return takes.join(gives, "id").filter("from_source <> to_source").distinct()
+def raf_bridges(rafs: DataFrame) -> DataFrame:
+    """``(source, id, rafs)``: reactions that belong to two sets or more."""
+    return rafs.groupBy("source", "id").agg(F.array_sort(F.collect_set("raf")).alias("rafs")).filter(F.size("rafs") >= 2)
 
 
-def best_mapping(relations_a: list[tuple[str, str, str]], relations_b: list[tuple[str, str, str]]) -> int:
-    """Relations kept by the best connected one-to-one mapping of entities.
+def raf_contractions(reactions: DataFrame, food: list[str]) -> DataFrame:
+    """``(source, id, raf, lost)``: how much smaller each set of a source is without one of its bridges.
 
-    Associations of like relations are compatible if they map entities one to
-    one; maximal cliques are searched with pivots.
+    The set is compared with the new one that shares most with it; sources are
+    taken by themselves.
     """
-    nodes = [(x, y) for x in relations_a for y in relations_b if x[2] == y[2]]
-    pairs = [{(x[0], y[0]), (x[1], y[1])} for x, y in nodes]
-    ok = lambda p, q: all((a == c) == (b == d) for a, b in p for c, d in q)
-    sound = [i for i in range(len(nodes)) if ok(pairs[i], pairs[i])]
-    near = {i: {j for j in sound if j != i and nodes[i][0] != nodes[j][0] and nodes[i][1] != nodes[j][1] and ok(pairs[i], pairs[j])} for i in sound}
-    best = 0
 
-    def connected(clique: set[int]) -> int:
-        left, most = set(clique), 0
-        while left:
-            part = {left.pop()}
-            grown = True
-            while grown:
-                ends = {e for i in part for e in nodes[i][0][:2]}
-                more = {i for i in left if ends & set(nodes[i][0][:2])}
-                grown, left, part = bool(more), left - more, part | more
-            most = max(most, len(part))
-        return most
-
-    stack = [(set(), set(sound), set())]
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        table, base = _table(g), set(food)
+        sets = minimal_rafs({k: table[k] for k in raf_closure(table, base)}, base)
+        rows = []
+        for bridge in sorted(k for k in table if sum(k in s for s in sets) >= 2):
+            rest = {k: r for k, r in table.items() if k != bridge}
+            new = minimal_rafs({k: rest[k] for k in raf_closure(rest, base)}, base)
+            for n, s in enumerate(sets):
+                rows.append((g["source"].iloc[0], bridge, n, len(s) - (len(max(new, key=lambda x: len(x & s))) if new else 0)))  # noqa: B023
+        return pd.DataFrame(rows, columns=["source", "id", "raf", "lost"])
+
+    return reactions.groupBy("source").applyInPandas(run, "source string, id string, raf long, lost long")
+
+
+def best_mapping(relations_a: list[tuple[str, str, str]], relations_b: list[tuple[str, str, str]], roles_a: dict | None = None, roles_b: dict | None = None) -> int:
+    """Relations kept by the best connected part of a one-to-one mapping of entities.
+
+    Entities of like roles may be mapped on each other, and two such pairs go
+    together if all relations between them, in both directions, are of the same
+    types.  Among the largest sets of pairs that all go together, found by
+    branching around pivots, the one counts whose relations make the largest
+    connected part.  Without roles all entities are alike; an entity that stands
+    in a relation to itself only counts as one without relations.
+    """
+    sides = []
+    for relations, roles in ((relations_a, roles_a), (relations_b, roles_b)):
+        between: dict = {}
+        for x, y, kind in relations:
+            if x != y:
+                between.setdefault((x, y), set()).add(kind)
+        names = sorted(roles) if roles is not None else sorted({e for x, y, _ in relations for e in (x, y)})
+        sides.append((names, between, roles or dict.fromkeys(names)))
+    (names_a, of_a, role_a), (names_b, of_b, role_b) = sides
+    nodes = [(x, y) for x in names_a for y in names_b if role_a[x] == role_b[y]]
+    fits = lambda x, y, u, v: of_a.get((x, u)) == of_b.get((y, v)) and of_a.get((u, x)) == of_b.get((v, y))
+    near = [{j for j, (u, v) in enumerate(nodes) if u != x and v != y and fits(x, y, u, v)} for x, y in nodes]
+    best = 0
+    stack = [(set(), set(range(len(nodes))), set())]
     while stack:
-        r, p, x = stack.pop()
-        if not p and not x:
-            best = max(best, connected(r))
+        r, p, seen = stack.pop()
+        if not p and not seen:
+            best = max(best, _largest_part([nodes[i] for i in r], of_a))
             continue
-        if len(r) + len(p) <= best:
+        if not p:
             continue
-        pivot = max(p | x, key=lambda u: len(near[u] & p))
+        pivot = max(p | seen, key=lambda i: len(near[i] & p))
         for v in sorted(p - near[pivot]):
-            stack.append((r | {v}, p & near[v], x & near[v]))
-            p, x = p - {v}, x | {v}
+            stack.append((r | {v}, p & near[v], seen & near[v]))
+            p, seen = p - {v}, seen | {v}
+    return best
+
+
+def _largest_part(mapped: list[tuple], between: dict) -> int:
+    """Relations in the part of the mapped entities, joined by relations, that has most."""
+    inside = {x for x, _ in mapped}
+    kept = {pair: len(kinds) for pair, kinds in between.items() if set(pair) <= inside}
+    best = 0
+    while kept:
+        part, grown = set(next(iter(kept))), True
+        while grown:
+            more = {e for pair in kept if part & set(pair) for e in pair} - part
+            part |= more
+            grown = bool(more)
+        best = max(best, sum(n for pair, n in kept.items() if pair[0] in part))
+        kept = {pair: n for pair, n in kept.items() if pair[0] not in part}
     return best
 
 
 def structure_scores(pairs: DataFrame) -> DataFrame:
-    """``pairs(query_id, cand_id, a, b)`` with relation arrays of (src, dst, type) -> ``score``."""
+    """``pairs(query_id, cand_id, a, b)`` with relation arrays of (src, dst, type) -> ``score``; maps ``roles_a``, ``roles_b`` are used where given."""
+    roles = [c for c in ("roles_a", "roles_b") if c in pairs.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plain = lambda rs: [(r["src"], r["dst"], r["type"]) for r in rs]
         for g in batches:
-            yield pd.DataFrame({"query_id": g["query_id"], "cand_id": g["cand_id"], "score": [float(best_mapping(plain(a), plain(b))) for a, b in zip(g["a"], g["b"], strict=True)]})
+            known = zip(*(g[c] for c in roles), strict=True) if len(roles) == 2 else [(None, None)] * len(g)
+            scores = [float(best_mapping(plain(a), plain(b), x and dict(x), y and dict(y))) for a, b, (x, y) in zip(g["a"], g["b"], known, strict=True)]
+            yield pd.DataFrame({"query_id": g["query_id"], "cand_id": g["cand_id"], "score": scores})
 
     kinds = dict(pairs.dtypes)
     return pairs.mapInPandas(run, f"query_id {kinds['query_id']}, cand_id {kinds['cand_id']}, score double")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litforge.functions.text import rounded
 from litforge.session import materialize
 
 OTHER = 2**32 - 2
@@ -261,7 +262,7 @@ def community_summary(members: DataFrame, ranks: DataFrame, edges: DataFrame, tf
     members = members.filter(wanted)
     intra = inner_degree(edges, members)
     hybrid = members.join(ranks, "id", "left").join(intra, "id").withColumn("score", F.coalesce("pagerank", F.lit(0.0)) * (F.col("intra") + 1))
-    order = Window.partitionBy("community_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("community_id").orderBy(F.desc(rounded(F.col("score"), 12)), "id")  # equal but for the order of summing is equal
     best = hybrid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     papers = best.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("top_papers"))
     terms = corpus.class_tfidf(tf, everyone.withColumnRenamed("id", "doc_id"), other=OTHER).filter(wanted)

@@ -110,19 +110,36 @@ def small_parts(spark, d):
     return s, e, s.select(F.col("doc_id").alias("id"))
 
 
-@register("community_summary", None)
+def source_members(s: DataFrame) -> DataFrame:
+    """Six communities by the number in the source's name."""
+    return s.select(F.col("doc_id").alias("id"), F.coalesce(F.substring("source", 4, 9).try_cast("bigint") % 6, F.lit(0)).cast("bigint").alias("community_id"))
+
+
+TREE_SQL = (
+    "e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents), m AS (SELECT doc_id, coalesce(try_cast(substr(source, 4, 9) AS BIGINT) % 6, 0) AS community_id FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents), "
+    "p(i, id, r) AS (SELECT 0, doc_id, 1 / n FROM documents, n UNION ALL SELECT i + 1, id, 0.15 / n + 0.85 * coalesce(g.s, 0) FROM p c CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(q.r) AS s FROM p q JOIN e ON e.src = q.id GROUP BY e.dst) g ON g.dst = c.id WHERE c.i < 50)"
+)
+
+
+@register(
+    "community_summary",
+    f"WITH RECURSIVE {corpus_queries.TF_SQL}, {TREE_SQL}, i AS (SELECT id, count(*) AS intra FROM (SELECT src AS id FROM e JOIN m x ON x.doc_id = src JOIN m y ON y.doc_id = dst WHERE x.community_id = y.community_id UNION ALL SELECT dst FROM e JOIN m x ON x.doc_id = src JOIN m y ON y.doc_id = dst WHERE x.community_id = y.community_id) GROUP BY 1), "
+    "best AS (SELECT community_id, p.id, row_number() OVER (PARTITION BY community_id ORDER BY floor(r * (coalesce(intra, 0) + 1) * 1e12 + 0.5) DESC, p.id) AS rank FROM p JOIN m ON m.doc_id = p.id LEFT JOIN i ON i.id = p.id WHERE p.i = 50), "
+    "sizes AS (SELECT community_id, count(*) AS size FROM m GROUP BY 1), s AS (SELECT community_id, term, sum(tf) AS s FROM tf JOIN m USING (doc_id) GROUP BY 1, 2), d2 AS (SELECT term, count(*) AS df FROM s GROUP BY 1), "
+    "sc AS (SELECT community_id, term, row_number() OVER (PARTITION BY community_id ORDER BY floor(s / size * (ln((SELECT count(*) FROM sizes) / df::DOUBLE) + 1) * 1e9 + 0.5) DESC, term) AS rank FROM s JOIN sizes USING (community_id) JOIN d2 USING (term)), "
+    "w AS (SELECT community_id, string_agg(term, ',' ORDER BY rank) AS keywords, string_agg(term, ' ' ORDER BY rank) FILTER (rank <= 2) AS label FROM sc WHERE rank <= 10 GROUP BY 1), t AS (SELECT community_id, string_agg(id::VARCHAR, ',' ORDER BY rank) AS top_papers FROM best WHERE rank <= 5 GROUP BY 1) "
+    "SELECT community_id, (row_number() OVER (ORDER BY size DESC, community_id) - 1)::INTEGER AS color_index, size, label, keywords, top_papers FROM sizes JOIN w USING (community_id) JOIN t USING (community_id)",
+)
 def community_summary(spark, d):
     s, e, n = small_parts(spark, d)
-    m = s.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(6)).alias("community_id"))
-    out = graph.community_summary(m, graph.pagerank(e, n), e, corpus.section_tf(s))
+    out = graph.community_summary(source_members(s), graph.pagerank(e, n), e, corpus.section_tf(s))
     return out.select("community_id", "color_index", "size", "label", F.array_join("keywords", ",").alias("keywords"), F.array_join(F.transform("top_papers", lambda x: x.cast("string")), ",").alias("top_papers"))
 
 
 @register("graph_export", None)
 def graph_export(spark, d):
     s, e, n = small_parts(spark, d)
-    m = s.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(6)).alias("community_id"))
-    return graph.export_graph(m, corpus.top_terms(corpus_queries.weights(spark, d), 5), e, "corpus")
+    return graph.export_graph(source_members(s), corpus.top_terms(corpus_queries.weights(spark, d), 5), e, "corpus")
 
 
 @register("graph_metrics", None)
@@ -164,24 +181,39 @@ def sheaf_bridges(spark, d):
 
 
 def reactions(spark, d):
-    """Five reactions per brand in a ring, each catalysed by a product two steps on."""
-    b = table(spark, d, "part").select("p_brand").distinct()
-    rows = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    name = lambda i: F.concat(F.col("p_brand"), F.lit("/"), ((F.col("k") + i) % 5).cast("string"))
-    rings = rows.select(F.concat(F.lit("r"), name(0)).alias("id"), F.array(F.lit("food"), F.when(F.col("k") > 0, name(0)).otherwise("food")).alias("reactants"), F.array(name(2)).alias("catalysts"), F.array(name(1)).alias("products"), F.col("p_brand").alias("source"))
-    links = b.select(F.concat(F.lit("x"), "p_brand").alias("id"), F.array(F.concat("p_brand", F.lit("/1"))).alias("reactants"), F.array(F.lit("none")).alias("catalysts"), F.array(F.lit("Brand#1/2")).alias("products"), F.lit("links").alias("source"))
-    return rings.unionByName(links)
+    """Reactions of each nation's customers: two chains that begin with food, one reaction that needs both, and one without a catalyst."""
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("source")).agg(F.count("*").alias("n"))
+    name = lambda *x: F.concat("source", F.lit("/"), *[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
+    steps = c.select("source", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"), F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(6)).cast("int"))).alias("k"))
+    side, k = F.col("side"), F.col("k")
+    chain = steps.select(name("r", side, k).alias("id"), F.array(F.when(k == 0, F.lit("food")).otherwise(name(side, k))).alias("reactants"), F.array(F.when(k == 0, F.lit("food")).otherwise(name(side, F.lit("1")))).alias("catalysts"), F.array(name(side, k + 1)).alias("products"), "source")
+    both = c.select(name("x").alias("id"), F.array(name("a2"), name("b2")).alias("reactants"), F.array(name("a1")).alias("catalysts"), F.array(name("y")).alias("products"), "source")
+    none = c.select(name("z").alias("id"), F.array(F.lit("food")).alias("reactants"), F.array(F.lit("none")).alias("catalysts"), F.array(name("w")).alias("products"), "source")
+    return chain.unionByName(both).unionByName(none)
 
 
-@register("raf_sets", None)
+SIDES_SQL = "c AS (SELECT c_nationkey::VARCHAR AS source, least(count(*), 6) AS n FROM customer GROUP BY 1), s AS (SELECT source, unnest(['a', 'b']) AS side, n FROM c), r AS (SELECT source, (side = 'b')::BIGINT AS raf, source || '/r' || side || k AS id FROM (SELECT source, side, unnest(range(0, n + 1)) AS k FROM s) UNION ALL SELECT source, (side = 'b')::BIGINT, source || '/x' FROM s)"
+
+
+@register("raf_sets", f"WITH {SIDES_SQL} SELECT source, raf, id FROM r")
 def raf_sets(spark, d):
     return detectors.raf_sets(reactions(spark, d), ["food"])
 
 
-@register("raf_bridges", None)
+@register("raf_closure", f"WITH {SIDES_SQL} SELECT DISTINCT source, id FROM r")
+def raf_closure(spark, d):
+    return detectors.closed_reactions(reactions(spark, d), ["food"]).select("source", "id")
+
+
+@register("raf_bridges", f"WITH {SIDES_SQL} SELECT source, id, '0,1' AS rafs FROM r GROUP BY source, id HAVING count(*) > 1")
 def raf_bridges(spark, d):
-    r = reactions(spark, d)
-    return detectors.raf_bridges(r, detectors.raf_sets(r, ["food"]))
+    out = detectors.raf_bridges(detectors.raf_sets(reactions(spark, d), ["food"]))
+    return out.select("source", "id", F.array_join(F.transform("rafs", lambda x: x.cast("string")), ",").alias("rafs"))
+
+
+@register("raf_contractions", f"WITH {SIDES_SQL} SELECT source, source || '/x' AS id, raf, 1::BIGINT AS lost FROM r GROUP BY source, raf")
+def raf_contractions(spark, d):
+    return detectors.raf_contractions(reactions(spark, d), ["food"])
 
 
 @register("structure_scores", None)
@@ -191,7 +223,8 @@ def structure_scores(spark, d):
     rel = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("rel")).alias("a")).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     w = Window.partitionBy("c_nationkey").orderBy("o_custkey")
     pairs = rel.select(F.col("o_custkey").alias("query_id"), F.lead("o_custkey").over(w).alias("cand_id"), "a", F.lead("a").over(w).alias("b")).filter("b IS NOT NULL")
-    return detectors.structure_scores(pairs)
+    roles = lambda c: F.map_from_entries(F.array_distinct(F.flatten(F.transform(c, lambda r: F.array(F.struct(r["src"].alias("k"), F.lit("customer").alias("v")), F.struct(r["dst"].alias("k"), F.lit("priority").alias("v")))))))
+    return detectors.structure_scores(pairs.withColumns({"roles_a": roles("a"), "roles_b": roles("b")}))
 
 
 @register("position_clusters", None)
@@ -205,7 +238,7 @@ def force_layout(spark, d):
     return out.select("graph", "id", R(F.col("x"), 3).alias("x"), R(F.col("y"), 3).alias("y"))
 
 
-@register("crawl", None)
+@register("crawl", f"WITH RECURSIVE {CITES_SQL}, e AS (SELECT DISTINCT src, dst FROM cites), r AS (SELECT min(src::VARCHAR)::BIGINT AS id, 0 AS depth FROM cites UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 4) SELECT id::VARCHAR AS paper_id, min(depth)::INTEGER AS depth_level, 'done' AS status, 0 AS retry_count FROM r GROUP BY id")
 def crawl(spark, d):
     e = edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     seed = e.agg(F.min("src")).first()[0]

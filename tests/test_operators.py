@@ -42,6 +42,27 @@ def test_bm25_order(spark):
     assert [r.doc_id for r in corpus.bm25(d, "graph", {"title": 2.0, "summary": 1.5}).collect()] == [1, 2]
 
 
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Candidates by prefixes and lists in blocks give what all pairs give."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"t{t}", float(rng.integers(1, 9))) for i in range(60) for t in set(rng.integers(0, 40, 12).tolist()) | {0}]
+    w = spark.createDataFrame(rows, "doc_id int, term string, weight double")
+    vec = {}
+    for i, t, x in rows:
+        vec.setdefault(i, {})[t] = x
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    dot = {(a, b): sum(x * vec[b].get(t, 0) for t, x in vec[a].items()) / norm[a] / norm[b] for a in vec for b in vec if a < b}
+    monkeypatch.setattr(corpus, "BLOCK", 7)
+    for least in (0.0, 0.45):
+        got = {(r.a, r.b): r.score for r in corpus.cosine_pairs(w, least).collect()}
+        assert got.keys() == {p for p, s in dot.items() if s >= max(least, 1e-12)} and all(math.isclose(got[p], dot[p]) for p in got)
+    shared = {(r.a, r.b): r.terms for r in corpus.shared_terms(w, 5.0).collect()}
+    want = {(a, b): sorted(t for t, x in vec[a].items() if x >= 5 and vec[b].get(t, 0) >= 5) for a, b in dot}
+    assert shared == {p: t for p, t in want.items() if t}
+    q, r = spark.range(7).withColumnRenamed("id", "q"), spark.range(23).withColumnRenamed("id", "r")
+    assert sorted(map(tuple, evaluate.against_all(q, r, 4).select("q", "r").collect())) == [(i, j) for i in range(7) for j in range(23)]
+
+
 def test_model_gate(spark):
     d = spark.createDataFrame([("x",), ("no way",)], "context string")
     say = F.pandas_udf(lambda s: pd.Series(["No" if "no" in x else "yes" for x in s]), "string")
@@ -119,6 +140,24 @@ def test_statistics(spark):
     assert b["low"] <= b["mean"] == 2.0 <= b["high"]
 
 
+def test_catalytic_sets(spark):
+    r = lambda needs, helps, makes: {"reactants": set(needs), "catalysts": set(helps), "products": set(makes)}
+    food = {"f", "g"}
+    table = {"a0": r("f", "g", "A"), "a1": r("A", "A", "B"), "b0": r("g", "f", "X"), "b1": r("Xf", "X", "Y"), "both": r("BY", "A", "Z"), "none": r("f", "Q", "N"), "far": r("M", "f", "O")}
+    kept = detectors.raf_closure(table, food)
+    assert kept == set(table) - {"none", "far"}
+    sets = detectors.minimal_rafs({k: table[k] for k in kept}, food)
+    assert sets == [{"a0", "a1", "both"}, {"b0", "b1", "both"}]
+    assert detectors.minimal_rafs({k: table[k] for k in ("a0", "a1")}, food) == [{"a0", "a1"}]
+    # A ring that only makes itself is closed, as all it needs is among its products.
+    assert detectors.raf_closure({"p": r("U", "V", "V"), "q": r("V", "U", "U")}, food) == {"p", "q"}
+    rows = [(k, sorted(x["reactants"]), sorted(x["catalysts"]), sorted(x["products"]), "s") for k, x in table.items()]
+    frame = spark.createDataFrame(rows, "id string, reactants array<string>, catalysts array<string>, products array<string>, source string")
+    assert {x.id for x in detectors.closed_reactions(frame, sorted(food)).collect()} == kept
+    assert [(x.id, x.rafs) for x in detectors.raf_bridges(detectors.raf_sets(frame, sorted(food))).collect()] == [("both", [0, 1])]
+    assert sorted(map(tuple, detectors.raf_contractions(frame, sorted(food)).collect())) == [("s", "both", 0, 1), ("s", "both", 1, 1)]
+
+
 def test_detectors(spark):
     ring = [(i, (i + k) % 10) for i in range(10) for k in (1, 2)]
     pairs = ring + [(a + 10, b + 10) for a, b in ring] + [(0, 10)]
@@ -135,6 +174,10 @@ def test_detectors(spark):
     rel = [("a", "b", "causes"), ("b", "c", "blocks")]
     assert detectors.best_mapping(rel, [("x", "y", "causes"), ("y", "z", "blocks")]) == 2
     assert detectors.best_mapping(rel, [("x", "y", "causes"), ("z", "y", "blocks")]) == 1
+    roles = [{"a": 1, "b": 1, "c": 2}, {"x": 1, "y": 1, "z": 3}]
+    assert detectors.best_mapping(rel, [("x", "y", "causes"), ("y", "z", "blocks")], *roles) == 1
+    two = [("a", "b", "causes"), ("b", "a", "causes"), ("a", "a", "blocks")]
+    assert detectors.best_mapping(two, [("x", "y", "causes")]) == 0 and detectors.best_mapping(two, two) == 2 and detectors.best_mapping([], two) == 0
     assert len(detectors.null_graph(20, pairs, "erdos", 1)) == len(pairs)
     degrees = lambda es: sorted(np.bincount(np.array(es).ravel()))
     assert degrees(detectors.null_graph(20, pairs, "configuration", 1)) == degrees(pairs)

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from litforge.plans import corpus_queries, graph_queries
+from litforge.plans import corpus_queries, graph_queries, lookup_queries
 
 
 @pytest.fixture
@@ -22,7 +22,7 @@ def test_all_orders_cite(spark, citing):
     for name in (graph_queries.betweenness, graph_queries.graph_metrics):
         got = {r.id: r.betweenness for r in name(spark, citing).collect()}
         assert got == {i: pytest.approx(want.get(i, 0), abs=1e-6) for i in range(1, 13)}
-    ranks = [(r.id, r.pagerank) for r in graph_queries.top_pagerank(spark, citing).collect()]
+    ranks = [(r.id, r.pagerank) for r in lookup_queries.top_pagerank(spark, citing).collect()]
     assert [i for i, _ in ranks[:5]] == [5, 4, 3, 2, 1] and ranks[3][1] == pytest.approx(1.85 * ranks[4][1], abs=1e-5)
     assert {(r.paper_id, r.depth_level) for r in graph_queries.crawl(spark, citing).collect()} == {("1", 0), ("2", 1), ("3", 2), ("4", 3), ("5", 4)}
     found = {r.id: r.community_id for r in graph_queries.communities(spark, citing).collect()}
@@ -33,12 +33,12 @@ def test_sections_hold_whole_texts(spark, tmp_path):
     text = "alpha\n\n\n\n\nzeppelin zeppelin"
     spark.createDataFrame([(1, text, "en", "src"), (2, "alpha", "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     d = str(tmp_path)
-    labels = corpus_queries.community_labels(spark, d).collect()
+    labels = lookup_queries.community_labels(spark, d).collect()
     assert any("zeppelin" in str(r) for r in labels)
     assert any("zeppelin" in r.json for r in graph_queries.graph_export(spark, d).collect())
     assert any("zeppelin" in r.keywords for r in graph_queries.community_summary(spark, d).collect())
     want = "\n\n".join(f"## {k}\n{v}" for k, v in zip(corpus_queries.SECTIONS, ["alpha", "[EMPTY]", "[EMPTY]", "[EMPTY]", "\nzeppelin zeppelin"], strict=True))
-    assert {r.doc_id: r.prompt_sha for r in corpus_queries.prompt_lengths(spark, d).collect()}[1] == hashlib.sha256(want.encode()).hexdigest()
+    assert {r.doc_id: r.prompt_sha for r in lookup_queries.prompt_lengths(spark, d).collect()}[1] == hashlib.sha256(want.encode()).hexdigest()
 
 
 def test_ladders_hold_all_customers(spark, tmp_path):
@@ -80,7 +80,7 @@ def test_all_relations_are_matched(spark, tmp_path):
 
 
 def test_production_parameters(spark, citing, tmp_path):
-    edges = graph_queries.all_edges(spark, citing)
+    edges = graph_queries.edges(spark, citing)
     want = {r.id: r.pagerank for r in graph_queries.graph.pagerank(edges, graph_queries.nodes(spark, citing), 50).collect()}
     got = {r.id: r.pagerank for r in graph_queries.graph_metrics(spark, citing).collect()}
     assert got == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()}
@@ -88,7 +88,7 @@ def test_production_parameters(spark, citing, tmp_path):
     spark.createDataFrame([(1, text, "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     parts = {"abstract": "a" * 2999, "introduction": "b" * 3000 + "[truncated]"}
     want = "\n\n".join(f"## {k}\n{parts.get(k, '[EMPTY]')}" for k in corpus_queries.SECTIONS)
-    assert corpus_queries.prompt_lengths(spark, str(tmp_path)).first().prompt_sha == hashlib.sha256(want.encode()).hexdigest()
+    assert lookup_queries.prompt_lengths(spark, str(tmp_path)).first().prompt_sha == hashlib.sha256(want.encode()).hexdigest()
     spark.createDataFrame([(i, 1) for i in range(9)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
     want = {r.id: (r.x, r.y) for r in graph_queries.layout.layouts(graph_queries.ladder_graphs(spark, str(tmp_path)), 300).collect()}
     assert {r.id: (r.x, r.y) for r in graph_queries.force_layout(spark, str(tmp_path)).collect()} == {i: pytest.approx(p, abs=1e-3) for i, p in want.items()}
