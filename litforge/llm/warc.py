@@ -12,7 +12,10 @@ Content-Length and verifies the block digest and the payload digest.
 Cases: null html is an empty payload; rows whose key is null come after all
 others in a group; rows that repeat the smallest key of a group are all
 responses; no rows give archives without records; a damaged or truncated archive
-raises ``WarcError``.
+raises ``WarcError``; a null url is written as an empty one and blanks in urls are
+left out, as a header line can't hold them; payloads of any size are written and
+read whole, one at a time; columns other than the key, url and html are dropped,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litforge.llm.joins import hot_keys, with_facts
 from litforge.session import materialize, shared_dir, table
 
 #: Production parameters: payloads of fewer bytes are never revisits; an archive is closed beyond ROLL_BYTES.
 MIN_REVISIT_BYTES = 0
 ROLL_BYTES = 256 << 20
 READ_BYTES = 256 << 10
+#: The first keys of up to so many copied digests are broadcast (under 20 MB).
+BROADCAST_DIGESTS = 200_000
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -131,9 +137,14 @@ def write_archives(pages: DataFrame, key: str = "page_id", min_bytes: int = MIN_
     folder = f"{shared_dir(pages.sparkSession)}/litforge/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(key).alias("key"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # Copies are counted before anything large moves; the join's hot digests are split by adaptive execution.
-    firsts = rows.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left")
+    # Copies are counted before anything large moves.  The first keys of copied digests are broadcast while they are
+    # few; beyond, those of hot digests are, and other rows are shuffled.
+    counts = materialize(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1"), "warc-copies")
+    firsts = counts.drop("n")
+    if counts.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        rows = with_facts(rows, firsts, hot_keys(counts, "digest"), "digest")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")) & (F.octet_length("html") >= min_bytes)
     rows = rows.select("key", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"))
 
