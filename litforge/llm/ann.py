@@ -14,7 +14,10 @@ measured against all pairs.
 Cases: vectors that are null, empty, zero, of another length than the first
 valid one, or hold null or non-finite components take no part; rows without an
 id neither; ties go to the smaller id; equal vectors are distinct candidates;
-with fewer candidates than wanted all are given; an empty table gives no rows.
+with fewer candidates than wanted all are given; an empty table gives no rows; rows
+that repeat an id all take part, each pair of ids counts once with its best score,
+and no row finds its own id; columns other than the id and the vector are dropped,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +34,16 @@ from litforge.session import materialize, table
 #: Production parameters.
 NEIGHBOURS = 20
 CURVES = 16
+#: Blocks of a curve for ROWS rows; that share of rows to the power GROWTH gives them for more.
 BLOCKS = 32
+ROWS = 10_000
+GROWTH = 0.25
 PROJECTED = 6
 BITS = 8
-#: A block has so many rows at least, and a task so many candidates at most, on average.
+#: A block has so many rows at least, on average, and a part of one so many at most; a merging task has so many queries.
 MIN_ROWS = 64
 TASK_ROWS = 20_000
+TASK_QUERIES = 2_000
 SEED = 20240501
 
 _PACKED = pa.schema([("part", pa.int64()), ("role", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
@@ -77,6 +84,15 @@ def frames(width: int, curves: int = CURVES, projected: int = PROJECTED, seed: i
     return np.concatenate(q, axis=1), rng.random(curves * projected)
 
 
+def _once(r: np.ndarray) -> np.ndarray:
+    """The best row of each pair, by query, then best first."""
+    r = r[np.lexsort((-r["score"], r["vec"], r["query"]))]
+    new = np.ones(len(r), bool)
+    new[1:] = (r["query"][1:] != r["query"][:-1]) | (r["vec"][1:] != r["vec"][:-1])
+    r = r[new]
+    return r[np.lexsort((r["vec"], -r["score"], r["query"]))]
+
+
 def _vectors(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column(0).to_numpy()
     return ids, batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), width)
@@ -100,20 +116,24 @@ def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.nda
     """The ``count`` best candidates of each query; products of equal vectors are equal to the last bit."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    # An id may stand there several times, and only its best row counts.
+    most = count * int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else count
     out = []
     for at in range(0, len(queries), 256):
         rough = queries[at : at + 256] @ x.T
         for i, row in enumerate(rough):
             own = int(query_ids[at + i])
             row[ids == own] = -np.inf
-            if len(row) > count:
-                least = np.partition(row, len(row) - count)[len(row) - count]
+            if len(row) > most:
+                least = np.partition(row, len(row) - most)[len(row) - most]
                 chosen = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
             else:
                 chosen = np.arange(len(row))
             chosen = chosen[row[chosen] > -np.inf]
             score = (x[chosen] * queries[at + i]).sum(axis=1)
-            best = np.lexsort((ids[chosen], -score))[:count]
+            best = np.lexsort((ids[chosen], -score))
+            if len(best) > count:  # of an id that stands there again the best one counts
+                best = best[np.sort(np.unique(ids[chosen][best], return_index=True)[1])][:count]
             r = np.empty(len(best), FOUND)
             r["query"], r["vec"], r["score"] = own, ids[chosen][best], score[best]
             out.append(r)
@@ -130,6 +150,8 @@ def nearest(vectors: DataFrame, every: int = 20, count: int = NEIGHBOURS, curves
         return empty
     width = one[0]
     rows = rows.filter(F.size("embedding") == width)
+    # Single precision travels as such; all sums are in double precision.
+    kind = np.dtype("<f4") if "array<float>" in dict(vectors.dtypes)["embedding"] else np.dtype("<f8")
     frame, shift = frames(width, curves)
 
     def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +164,7 @@ def nearest(vectors: DataFrame, every: int = 20, count: int = NEIGHBOURS, curves
     low = np.array([r.low for r in sizes])
     span = np.maximum(np.array([r.high for r in sizes]) - low, 1e-12)
     total = sizes[0].n
-    blocks = max(1, min(blocks, total // MIN_ROWS))
-    parts = max(1, -(-total // blocks // TASK_ROWS))
+    blocks = max(1, min(round(blocks * max(1.0, total / ROWS) ** GROWTH), total // MIN_ROWS))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,33 +175,49 @@ def nearest(vectors: DataFrame, every: int = 20, count: int = NEIGHBOURS, curves
     cuts = rows.mapInArrow(keyed, "curve long, key long").groupBy("curve").agg(F.percentile_approx("key", shares, 10_000).alias("cuts")).collect()
     borders = {r.curve: np.array(r.cuts[: blocks - 1], np.int64) for r in cuts}
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(curves * blocks, np.int64)
+        for batch in batches:
+            for c, key in enumerate(_keys(_vectors(batch, width)[1], frame, shift, low, span, curves)):
+                n += np.bincount(np.searchsorted(borders[c], key, side="right") + c * blocks, minlength=curves * blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(curves * blocks)), pa.array(n)], names=["block", "n"])
+
+    # A row per block: equal keys can't be cut apart, so blocks differ in size.
+    sizes = np.zeros(curves * blocks, np.int64)
+    for r in rows.mapInArrow(counted, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():
+        sizes[r.block] = r.n
+    parts = np.maximum(1, -(-sizes // TASK_ROWS))
+    base = np.concatenate(([0], np.cumsum(parts)[:-1]))
+    merges = max(64, total // every // TASK_QUERIES)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             ids, x = _vectors(batch, width)
             asks = np.flatnonzero(ids % every == 0)
-            split = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+            split = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             where, role, index = [], [], []
             for c, key in enumerate(_keys(x, frame, shift, low, span, curves)):
                 block = np.searchsorted(borders[c], key, side="right") + c * blocks
-                where.append(block * parts + split)
+                where.append(base[block] + split % parts[block])
                 role.append(np.zeros(len(ids), np.int32))
                 index.append(np.arange(len(ids)))
                 for step in (-1, 0, 1):
                     near = block[asks] + step
                     inside = asks[near // blocks == c]
                     near = near[near // blocks == c]
-                    for s in range(parts):
-                        where.append(near * parts + s)
-                        role.append(np.ones(len(near), np.int32))
-                        index.append(inside)
+                    times = parts[near]
+                    ends = np.cumsum(times)
+                    where.append(np.repeat(base[near], times) + np.arange(times.sum()) - np.repeat(ends - times, times))
+                    role.append(np.ones(int(times.sum()), np.int32))
+                    index.append(np.repeat(inside, times))
             where, role, index = np.concatenate(where), np.concatenate(role), np.concatenate(index)
             order = np.lexsort((role, where))
             where, role, index = where[order], role[order], index[order]
             bounds = np.concatenate(([0], np.flatnonzero((np.diff(where) != 0) | (np.diff(role) != 0)) + 1, [len(where)]))
             spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(where[bounds[:-1]]), pa.array(role[bounds[:-1]]), pa.array([ids[index[a:b]].tobytes() for a, b in spans], pa.binary()), pa.array([x[index[a:b]].tobytes() for a, b in spans], pa.binary())], schema=_PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array(where[bounds[:-1]]), pa.array(role[bounds[:-1]]), pa.array([ids[index[a:b]].tobytes() for a, b in spans], pa.binary()), pa.array([x[index[a:b]].astype(kind).tobytes() for a, b in spans], pa.binary())], schema=_PACKED)
 
     def rank(t: pa.Table) -> pa.Table:
         role = t.column("role").to_numpy()
@@ -188,10 +225,10 @@ def nearest(vectors: DataFrame, every: int = 20, count: int = NEIGHBOURS, curves
         for r in (0, 1):
             part = t.filter(pa.array(role == r))
             side.append(np.frombuffer(b"".join(part.column("ids").to_pylist()), np.int64))
-            side.append(np.frombuffer(b"".join(part.column("vectors").to_pylist()), np.float64).reshape(-1, width))
+            side.append(np.frombuffer(b"".join(part.column("vectors").to_pylist()), kind).astype(np.float64).reshape(-1, width))
         found = _best(*side, count) if len(side[0]) and len(side[2]) else np.empty(0, FOUND)
-        found = found[np.argsort(found["query"] // every % 64, kind="stable")]
-        part = found["query"] // every % 64
+        found = found[np.argsort(found["query"] // every % merges, kind="stable")]
+        part = found["query"] // every % merges
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, int)
         return pa.table({"part": pa.array(part[bounds[:-1]]), "data": pa.array([found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
@@ -199,10 +236,7 @@ def nearest(vectors: DataFrame, every: int = 20, count: int = NEIGHBOURS, curves
 
     def merge(t: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(t.column("data").to_pylist()), FOUND)
-        r = r[np.lexsort((r["vec"], -r["score"], r["query"]))]
-        new = np.ones(len(r), bool)
-        new[1:] = (r["query"][1:] != r["query"][:-1]) | (r["vec"][1:] != r["vec"][:-1])
-        r = r[new]
+        r = _once(r)
         first = np.flatnonzero(np.concatenate(([True], r["query"][1:] != r["query"][:-1])))
         place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) + 1
         r, place = r[place <= count], place[place <= count]
