@@ -3,6 +3,11 @@
 Toxic documents go, then documents that fail quality rules or stand on failing
 hosts, then all but one of each group of near duplicates; passages that still
 repeat are cut out, and what is left is packed into sequences.
+
+Cases: null and empty texts fail the quality rules and go; of rows that repeat id
+and text one stays; very long texts are read whole by every stage; columns of any
+names are carried up to the last stage; empty documents or labels give no rows
+or, without labels of both kinds, keep every document in the first stage.
 """
 
 from __future__ import annotations

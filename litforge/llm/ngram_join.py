@@ -21,7 +21,10 @@ is PERCENT per cent or more.  The join is exact:
 4. The forests' connected components hold all links.  Sets go to their
    component's task, where a tree with finer bitmaps is searched in the same way and
    every pair that it leaves is compared shingle by shingle.  Large components
-   are split into blocks, and each pair of blocks is a task.
+   are split into blocks.  Each block is searched by itself, together with a few
+   pivots that all blocks of its component get; of a group of near copies, however
+   large, this joins nearly all.  The sets that remain outside their component's
+   largest group are then compared with all its blocks.
 
 Cases: null, empty or blank text has no shingles and no links; fewer than WORDS
 words are one shingle; repeated rows are one set; rows with a null doc_id link,
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litforge.llm.bpe import Memory
@@ -57,7 +60,9 @@ BATCH = 8000
 #: Bytes of postings for a task, of sets for a task, and of sets in a block of a split component.
 LIST_BYTES = 2 << 20
 SET_BYTES = 12 << 20
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+#: Sets of a large component that all its blocks get.
+PIVOTS = 8
 BROADCAST_IDS = 1_000_000
 
 POSTING = np.dtype([("shingle", "<u8"), ("key", "<i8")])
@@ -401,11 +406,15 @@ def _sets(words: int):
 
 
 def _exact(percent: int):
-    """Sets of whole components, or of two blocks of one -> a spanning forest of links."""
+    """Sets of whole components, or of blocks of one -> a spanning forest of links.
+
+    With a column ``label``, sets of a label are known to be linked.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         keys, roots = t.column("key").to_numpy(), t.column("root").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()]
+        labels = t.column("label").to_numpy() if "label" in t.column_names else None
         edges: list[tuple[int, int]] = []
         order = np.lexsort((keys, roots))
         for rows in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
@@ -421,13 +430,47 @@ def _exact(percent: int):
                 at = np.searchsorted(a, b)
                 return links(int((a[np.minimum(at, len(a) - 1)] == b).sum()), len(a), len(b), percent)
 
-            edges += [(int(keys[rows[x]]), int(keys[rows[y]])) for x, y in tree.search(Forest(len(rows)), np.arange(len(rows)), same)]
+            forest = Forest(len(rows))
+            if labels is not None:
+                by = np.argsort(labels[rows], kind="stable")
+                for x, y in zip(by[:-1].tolist(), by[1:].tolist(), strict=True):
+                    if labels[rows[x]] == labels[rows[y]]:
+                        forest.join(x, y)
+            edges += [(int(keys[rows[x]]), int(keys[rows[y]])) for x, y in tree.search(forest, np.arange(len(rows)), same)]
         a = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(a[:, 0].copy()), "b": pa.array(a[:, 1].copy())})
 
     return run
 
 
+def _exact_in_blocks(members: DataFrame, part: Column, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` that join all linked sets of ``members(key, root, blocks, block, data)``, whose large components are in blocks."""
+    large = members.filter("blocks > 1")
+    heads = large.groupBy("root", "block").agg(F.min("key").alias("key"))
+    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("block"))).filter(F.col("nth") <= PIVOTS)
+    pivots = large.join(heads.select("key"), "key", "left_semi")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    rows = members.unionByName(pivots.select("key", "root", "blocks", every, "data"))
+    edges = rows.select("key", "root", "data", part.alias("part")).groupBy("part").applyInArrow(_exact(percent), "a long, b long")
+    edges = materialize(edges, "join-within")
+    # What lies outside a component's largest group is compared with all of it.
+    groups = components(edges, "join-within").select("key", F.col("root").alias("label"))
+    placed = materialize(large.select("key", "root").join(groups, "key", "left").withColumn("label", F.coalesce("label", "key")), "join-placed")
+    main = placed.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = placed.join(main, "root").filter("label <> main").select("key", "root", "label")
+    rest = materialize(rest, "join-rest")
+    if rest.isEmpty():
+        return edges
+    cuts = rest.join(large.select("key", F.octet_length("data").alias("size")), "key").groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("cuts"))
+    labelled = large.join(placed.drop("root"), "key").join(F.broadcast(cuts) if cuts.count() <= BROADCAST_IDS else cuts, "root")
+    cut = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")
+    mine = labelled.select("key", "root", "label", "data", "block", cut)
+    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cuts")).cast("int").alias("cut")
+    theirs = labelled.join(rest.select("key"), "key", "left_semi").select("key", "root", "label", "data", every, own)
+    pairs = mine.unionByName(theirs).select("key", "root", "label", "data", F.xxhash64("root", "block", "cut").alias("part"))
+    return edges.unionByName(pairs.groupBy("part").applyInArrow(_exact(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -462,12 +505,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if ids.count() <= BROADCAST_IDS:
         chosen = chosen.join(F.broadcast(ids), F.col("doc").eqNullSafe(F.col("first")), "left_semi")
     sets = chosen.select("text").mapInArrow(_sets(words), "key long, n long, data binary").drop("n")
-    members = known.select("key", "root", "blocks").join(sets, "key")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j")))
-    members = members.withColumn("pair", F.explode(pairs))
-    part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "pair"))
-    exact = members.select("key", "root", "data", part.alias("part")).groupBy("part").applyInArrow(_exact(percent), "a long, b long")
+    members = known.select("key", "root", "blocks").join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "block"))
+    if known.filter("blocks > 1").isEmpty():
+        exact = members.select("key", "root", "data", part.alias("part")).groupBy("part").applyInArrow(_exact(percent), "a long, b long")
+    else:
+        exact = _exact_in_blocks(materialize(members, "join-blocks"), part, percent)
     groups = components(exact, "join-exact")
 
     least = groups.join(facts.select("key", "first"), "key").groupBy("root").agg(F.min("first").alias("component_id"))

@@ -69,7 +69,11 @@ def test_join_like_brute_force(spark, documents, folder):
 
 def test_join_splits_large_components(spark, documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
-    rows = near_rows()
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    base, rows = words(200), near_rows()
+    for i in range(80):  # a chain: each text is near the one before and far from the first
+        base = edited(base, 1)
+        rows.append((400 + i, base))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents(rows)).collect()}
     assert got == brute_groups(rows)
 

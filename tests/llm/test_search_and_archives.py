@@ -6,8 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from litforge.llm import ann, packing, warc
+from litforge.llm import ann, warc
 
 
 def test_hilbert():
@@ -39,6 +38,27 @@ def test_nearest(spark, folder):
     assert ties == list(range(101, 121))
 
 
+def test_hot_block_and_repeated_ids(spark, monkeypatch):
+    """Half of all vectors are one, so one block holds them and is split; ids repeat; names clash."""
+    monkeypatch.setattr(ann, "TASK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1200, 8)).astype(np.float32)
+    x[::2] = x[0]
+    rows = [(i, v.tolist(), 0.5, 1) for i, v in enumerate(x)] + [(7, x[900].tolist(), 0.5, 1), (40, x[41].tolist(), 0.5, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double, rank int").repartition(5)
+    got = ann.nearest(frame, curves=4, blocks=1).toPandas()
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    for q in range(0, 1200, 20):
+        best = {}
+        for a in np.flatnonzero(ids == q):
+            for i, s in zip(ids.tolist(), (y * y[a]).sum(axis=1).tolist(), strict=True):
+                if i != q:
+                    best[i] = max(s, best.get(i, s))
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["vec_id"].tolist() == want and mine["score"].tolist() == [best[i] for i in want]
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
@@ -64,6 +84,17 @@ def test_archives(spark, folder):
     assert bytes(back.payload) == b"same" and back.url == "http://a/x"
 
 
+def test_archives_with_shuffled_firsts(spark, folder, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    rows = [(i, "u", f"text {i % 90 if i % 3 else 0}", "x") for i in range(600)]
+    d = folder(spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3), "pages")
+    first = {}
+    for i, _, html, _ in rows:
+        first.setdefault(html, i)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op10_warc(spark, d).collect()}
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h, _ in rows}
+
+
 def test_damaged_archives():
     good = warc.record(1, "http://a", b"payload") + warc.record(2, "http://b", b"payload", 1)
     records = [warc.read_record(m) for m in warc.members(io.BytesIO(good))]
@@ -75,17 +106,3 @@ def test_damaged_archives():
         warc.read_record(plain.replace(b"payload\r\n\r\n", b"poyload\r\n\r\n"))
     with pytest.raises(warc.WarcError):
         warc.parse(plain[:-1])
-
-
-def test_pipeline(spark):
-    """Every stage takes all that the last one kept; the packed pieces are those of the cut texts."""
-    d = "/root/testdata/sf0.001"
-    docs = corpus_pipeline.table(spark, d, "documents")
-    columns, n = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, d), "test")
-        assert docs.columns == columns and 0 < docs.count() <= n, name
-        n = docs.count()
-    want = packing.pack(docs).groupBy("doc_id").sum("length").collect()
-    got = corpus_pipeline.run(spark, d).groupBy("doc_id").sum("length").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
