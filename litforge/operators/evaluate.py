@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litforge.operators.ordered import running
+from litforge.session import materialize, release
+
 
 def ranked(scores: DataFrame) -> DataFrame:
     """``rank`` of candidates within a query: score falling, ties to the smaller id."""
@@ -44,8 +47,11 @@ def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     counts = scored.groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    if by:
+        below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        parts = counts.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    else:
+        parts = running(counts, ["score"], {"below": "n"})
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
     return parts.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
 
@@ -241,7 +247,7 @@ def round_robin(rows: DataFrame, group: str, item: str, n: int) -> DataFrame:
 
 def stride_sample(rows: DataFrame, key: str, n: int, stride: int = 7, offset: int = 3) -> DataFrame:
     """Rows at places stride * i + offset, modulo the count, of the order of ``key``."""
-    placed = rows.withColumn("at", F.row_number().over(Window.orderBy(key)) - 1)
+    placed = running(rows, [key]).withColumn("at", F.col("nth") - 1).drop("nth")
     total = rows.count()
     wanted = rows.sparkSession.range(min(n, total)).select(((F.col("id") * stride + offset) % max(total, 1)).alias("at")).distinct()
     return placed.join(F.broadcast(wanted), "at").drop("at")
@@ -303,17 +309,26 @@ def mine_pairs(references: DataFrame) -> DataFrame:
     """A pair of papers of the two most cited fields of each bridge paper.
 
     ``references(bridge, paper, field)``: fields by count then name, the first
-    paper by id for each.  Uniqueness is greedy in order of bridge, so the
-    per-bridge pairs, one row each, are walked in order on the driver.
+    paper by id for each.  No paper is used twice: pairs are taken greedily in
+    order of bridge.  A round takes every pair that comes first for both of its
+    papers, as the greedy walk would, and drops those that share a paper with it.
     """
     fields = references.groupBy("bridge", "field").agg(F.countDistinct("paper").alias("n"), F.min("paper").alias("paper"))
     order = Window.partitionBy("bridge").orderBy(F.desc("n"), "field")
     two = fields.withColumn("place", F.row_number().over(order)).filter("place <= 2")
     pairs = two.groupBy("bridge").agg(F.min_by("paper", "place").alias("side_a"), F.max_by("paper", "place").alias("side_b"), F.count("*").alias("n")).filter("n = 2").drop("n")
-    used: set = set()
-    kept = []
-    for r in pairs.orderBy("bridge").toLocalIterator():
-        if r.side_a not in used and r.side_b not in used:
-            used |= {r.side_a, r.side_b}
-            kept.append((r.bridge, r.side_a, r.side_b))
-    return references.sparkSession.createDataFrame(kept, pairs.schema)
+    left, taken = materialize(pairs, "mined-0"), []
+    while not left.isEmpty():
+        first = left.select("bridge", F.explode(F.array("side_a", "side_b")).alias("paper")).groupBy("paper").agg(F.min("bridge").alias("first"))
+        sides = [first.select(F.col("paper").alias(side), F.col("first").alias(f"first_{side}")) for side in ("side_a", "side_b")]
+        won = left.join(sides[0], "side_a").join(sides[1], "side_b").filter("first_side_a = bridge AND first_side_b = bridge")
+        won = materialize(won.select(*pairs.columns), "mined-won")
+        used = won.select(F.explode(F.array("side_a", "side_b")).alias("paper")).distinct()
+        rest = left.join(used.withColumnRenamed("paper", "side_a"), "side_a", "left_anti").join(used.withColumnRenamed("paper", "side_b"), "side_b", "left_anti")
+        older, left = left, materialize(rest.select(*pairs.columns), "mined-left")
+        release(older)
+        taken.append(won)
+    out = pairs.limit(0)
+    for won in taken:
+        out = out.unionByName(won)
+    return out

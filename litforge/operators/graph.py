@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litforge.functions.text import rounded
-from litforge.session import materialize
+from litforge.session import materialize, release
 
 OTHER = 2**32 - 2
+#: Edges of a graph that each worker may hold for exact betweenness.
+MOST_EDGES = 10_000_000
 
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,7 +66,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = materialize(both.filter("b > a").join(low, "a").select(F.col("low").alias("a"), "b").filter("a <> b").distinct(), "components")
         low = large.groupBy("b").agg(F.min("a").alias("low"))
+        before_pairs = pairs
         pairs = materialize(large.join(low, "b").select(F.explode(F.array("a", "b")).alias("b"), F.col("low").alias("a")).filter("a <> b").distinct(), "components")
+        release(before_pairs, large)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
@@ -95,14 +99,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 50, damping: floa
     n = sinks.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
-    ranks = sinks.select("id", "sink", F.lit(1.0 / n).alias("r"))
+    ranks, last = sinks.select("id", "sink", F.lit(1.0 / n).alias("r")), None
     for i in range(rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("r"))), F.lit(0.0)).alias("lost"))
         given = links.join(ranks.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") / F.col("out")).alias("given"))
         r = F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)
         ranks = sinks.join(given, "id", "left").join(F.broadcast(lost)).select("id", "sink", r.alias("r"))
         if i % write_every == write_every - 1 or i == rounds - 1:
-            ranks = materialize(ranks, f"pagerank-{i}")
+            older, last = last, materialize(ranks, f"pagerank-{i}")
+            ranks = last
+            if older is not None:
+                release(older)
     return ranks.select("id", F.col("r").alias("pagerank"))
 
 
@@ -110,10 +117,13 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Brandes' measure, directed and unweighted, over (n-1)(n-2).
 
     Sources are spread over tasks; each task holds the adjacency, so the graph
-    must fit in a worker (n + m under some 10 million), as for any exact method.
+    must fit in a worker, as for any exact method: MOST_EDGES is checked.
     """
     ids = nodes.select("id").distinct()
-    pairs = resolved(edges.select("src", "dst").distinct(), nodes).toPandas()
+    found = resolved(edges.select("src", "dst").distinct(), nodes)
+    if found.count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges don't fit in a worker")
+    pairs = found.toPandas()
     out: dict = {}
     for a, b in zip(pairs["src"], pairs["dst"], strict=True):
         out.setdefault(a, []).append(b)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litforge.functions.text import rounded
+from litforge.operators.ordered import running
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
@@ -134,8 +135,9 @@ def dashboard(papers: DataFrame, gaps: DataFrame, problems: DataFrame, with_meth
 def keyword_variance(top: DataFrame, n: int = 8) -> DataFrame:
     """Terms whose scores in the documents' top lists vary most; two or more values are needed."""
     v = top.groupBy("term").agg(F.count("*").alias("n"), F.var_pop("weight").alias("variance")).filter("n >= 2")
-    ranked = v.withColumn("slot_index", F.row_number().over(Window.orderBy(F.desc(rounded(F.col("variance"), 9)), "term")) - 1)
-    return ranked.filter(F.col("slot_index") < n).select("slot_index", "term", "variance")
+    order = [F.desc(rounded(F.col("variance"), 9)), F.col("term")]
+    best = v.orderBy(*order).limit(n)  # a heap in each task; the window sees these rows only
+    return best.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("slot_index"), "term", "variance")
 
 
 def gap_summary(gaps: DataFrame) -> DataFrame:
@@ -150,11 +152,18 @@ def shortened(text: Column, most: int = 60) -> Column:
 
 
 def gap_report(gaps: DataFrame) -> DataFrame:
-    """Lines of the gap table: a section for each kind, surest first."""
-    line = F.format_string("%-30s  %5.1f%%  %-30s  %s", F.array_join("paper_ids", ", "), F.col("confidence") * 100, F.array_join("shared_terms", ", "), shortened(F.col("justification")))
+    """Lines ``(section, line, text)`` of the gap table: a section for each kind, surest first.
+
+    ``gaps(gap_type, paper_ids, confidence, shared_terms, justification)``.  A line has the papers, the
+    confidence, the shared terms and the justification, cut to its column.
+    """
+    ids = F.array_join(F.transform("paper_ids", lambda x: x.cast("string")), ", ")
+    text = F.format_string("%-30s  %5.1f%%  %-30s  %s", ids, F.col("confidence") * 100, F.array_join("shared_terms", ", "), shortened(F.col("justification")))
     section = F.when(F.col("gap_type") == "contradiction", "Contradictions").otherwise("Bridges")
-    order = Window.partitionBy("section").orderBy(F.desc("confidence"), F.array_join("paper_ids", ","))
-    return gaps.withColumn("section", section).select("section", F.row_number().over(order).alias("line"), line.alias("text"))
+    rows = gaps.select(section.alias("section"), "confidence", ids.alias("ids"), text.alias("text"))
+    placed = running(rows, [F.col("section"), F.desc("confidence"), F.col("ids"), F.col("text")])
+    first = placed.groupBy("section").agg(F.min("nth").alias("first"))  # a row a kind
+    return placed.join(F.broadcast(first), "section").select("section", (F.col("nth") - F.col("first") + 1).alias("line"), "text")
 
 
 # Presentation expressions.

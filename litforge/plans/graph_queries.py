@@ -257,7 +257,6 @@ def streamed_counts(spark, d):
 
     from litforge.streaming import progress
 
-    name = f"counts_{uuid.uuid4().hex}"
     rows = progress.read_events(spark, f"{d}/events.parquet*", schema=table(spark, d, "events").schema)
-    progress.run_available(progress.windowed_counts(rows), name, f"{shared_dir(spark)}/litforge/stream-{name}")
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", R(F.col("value")).alias("value"))
+    counts = progress.run_available(progress.windowed_counts(rows), f"{shared_dir(spark)}/litforge/stream-{uuid.uuid4().hex}")
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", R(F.col("value")).alias("value"))

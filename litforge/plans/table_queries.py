@@ -147,12 +147,11 @@ def gap_summary(spark, d):
     return relational.gap_summary(gaps(spark, d))
 
 
-@register("gap_report", f"WITH {GAPS_SQL} SELECT CASE WHEN gap_type = 'contradiction' THEN 'Contradictions' ELSE 'Bridges' END AS section, row_number() OVER (PARTITION BY gap_type ORDER BY confidence DESC, user_id || ',' || (user_id + 1), event_id)::INTEGER AS line, CASE WHEN length(props || props || props || props || props || props) > 60 THEN substr(props || props || props || props || props || props, 1, 57) || '...' ELSE props || props || props || props || props || props END AS text FROM gaps")
+@register("gap_report", f"WITH {GAPS_SQL}, t AS (SELECT CASE WHEN gap_type = 'contradiction' THEN 'Contradictions' ELSE 'Bridges' END AS section, confidence, user_id || ', ' || (user_id + 1) AS ids, props || props || props || props || props || props AS j FROM gaps), l AS (SELECT section, confidence, ids, rpad(ids, greatest(30, length(ids)), ' ') || '  ' || printf('%5.1f', confidence * 100) || '%  ' || rpad('k, ' || ids, greatest(30, length('k, ' || ids)), ' ') || '  ' || CASE WHEN length(j) > 60 THEN substr(j, 1, 57) || '...' ELSE j END AS text FROM t) SELECT section, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, ids, text) AS line, text FROM l")
 def gap_report(spark, d):
     g = gaps(spark, d)
-    section = F.when(F.col("gap_type") == "contradiction", "Contradictions").otherwise("Bridges")
-    order = Window.partitionBy("gap_type").orderBy(F.desc("confidence"), F.array_join(F.transform("paper_ids", lambda x: x.cast("string")), ","), "event_id")
-    return g.select(section.alias("section"), F.row_number().over(order).alias("line"), relational.shortened(F.repeat("justification", 6)).alias("text"))
+    terms = F.concat(F.array(F.lit("k")), F.transform("paper_ids", lambda x: x.cast("string")))
+    return relational.gap_report(g.withColumns({"justification": F.repeat("justification", 6), "shared_terms": terms}))
 
 
 @register("edge_overlay", f"WITH {CITES_SQL}, {GAPS_SQL} SELECT kind, count(*) AS n FROM (SELECT 'citation' AS kind FROM cites UNION ALL SELECT gap_type FROM gaps UNION ALL SELECT 'similarity' FROM (SELECT DISTINCT src, dst FROM cites WHERE src < dst AND (src % 100) / 100.0 >= 0.15)) GROUP BY kind")

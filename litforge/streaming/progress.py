@@ -22,11 +22,21 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def run_available(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Into a memory table until the source is read up."""
-    query = counts.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(counts: DataFrame, folder: str) -> DataFrame:
+    """The whole result when the source is read up.
+
+    Every micro-batch writes its state of the result to a folder of its own, so a
+    batch that is repeated writes the same again; the last one is read.
+    """
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result-{number}")
+        done.append(number)
+
+    query = counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return counts.sparkSession.read.schema(counts.schema).parquet(f"{folder}/result-{done[-1]}") if done else counts.sparkSession.createDataFrame([], counts.schema)
 
 
 def upsert_stream(rows: DataFrame, catalog, name: str, checkpoint: str) -> StreamingQuery:
