@@ -147,7 +147,7 @@ def gap_summary(spark, d):
     return relational.gap_summary(gaps(spark, d))
 
 
-@register("gap_report", f"WITH {GAPS_SQL}, t AS (SELECT CASE WHEN gap_type = 'contradiction' THEN 'Contradictions' ELSE 'Bridges' END AS section, confidence, user_id || ', ' || (user_id + 1) AS ids, props || props || props || props || props || props AS j FROM gaps), l AS (SELECT section, confidence, ids, rpad(ids, greatest(30, length(ids)), ' ') || '  ' || printf('%5.1f', confidence * 100) || '%  ' || rpad('k, ' || ids, greatest(30, length('k, ' || ids)), ' ') || '  ' || CASE WHEN length(j) > 60 THEN substr(j, 1, 57) || '...' ELSE j END AS text FROM t) SELECT section, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, ids, text) AS line, text FROM l")
+@register("gap_report", f"WITH {GAPS_SQL}, t AS (SELECT CASE WHEN gap_type = 'contradiction' THEN 'Contradictions' ELSE 'Bridges' END AS section, confidence, user_id || ', ' || (user_id + 1) AS ids, props || props || props || props || props || props AS j FROM gaps), l AS (SELECT section, confidence, ids, rpad(ids, greatest(30, length(ids))::INTEGER, ' ') || '  ' || printf('%5.1f', confidence * 100) || '%  ' || rpad('k, ' || ids, greatest(30, length('k, ' || ids))::INTEGER, ' ') || '  ' || CASE WHEN length(j) > 60 THEN substr(j, 1, 57) || '...' ELSE j END AS text FROM t) SELECT section, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, ids, text) AS line, text FROM l")
 def gap_report(spark, d):
     g = gaps(spark, d)
     terms = F.concat(F.array(F.lit("k")), F.transform("paper_ids", lambda x: x.cast("string")))
