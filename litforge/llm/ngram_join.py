@@ -24,12 +24,12 @@ is PERCENT per cent or more.  The join is exact:
    are split into blocks.  Each block is searched by itself, together with a few
    pivots that all blocks of its component get; of a group of near copies, however
    large, this joins nearly all.  The sets that remain outside their component's
-   largest group are then compared with all its blocks.
+   largest group then meet each other and that group in pairs of blocks.
 
 Cases: null, empty or blank text has no shingles and no links; fewer than WORDS
 words are one shingle; repeated rows are one set; rows with a null doc_id link,
 but are never the smallest id of a group; texts are read whole; an empty table
-gives no rows.
+gives no rows; ``keep_one`` keeps all columns, of any names.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from litforge.llm.bpe import Memory
 from litforge.llm.joins import hot_keys, with_facts
-from litforge.session import materialize, table
+from litforge.session import materialize, release, table
 
 #: Production parameters.
 WORDS = 5
@@ -60,7 +60,7 @@ BATCH = 8000
 #: Bytes of postings for a task, of sets for a task, and of sets in a block of a split component.
 LIST_BYTES = 2 << 20
 SET_BYTES = 12 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 #: Sets of a large component that all its blocks get.
 PIVOTS = 8
 BROADCAST_IDS = 1_000_000
@@ -209,10 +209,10 @@ class SignatureTree:
 
 def _measure(words: int, share: float):
     """A row per text, with its set's size, key and bitmap, and rows of shingles that are frequent in a batch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("frequent", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("frequent", pa.binary())])
 
-    def rows(ids, sizes, keys, bits) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
+    def rows(ids, texts, sizes, keys, bits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, texts, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
 
     def count(sets: list[np.ndarray], texts: int) -> pa.RecordBatch:
         # A shingle in more than a share of all texts is in more than that share of some batch.
@@ -221,19 +221,18 @@ def _measure(words: int, share: float):
         if texts < 2 / share:
             chosen = n >= 2  # too few texts for the share: all that occur twice
         packed = np.rec.fromarrays((found[chosen], n[chosen].astype("<i8")), dtype=POSTING).tobytes()
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held = [], set(), 0
         for batch in batches:
-            out = ([], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out = ([], [], [])
+            for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 key = set_key(found) if len(found) else None
-                out[0].append(doc)
-                out[1].append(len(found))
-                out[2].append(key)
-                out[3].append(heights(found, buckets_of(len(found))).tobytes())
+                out[0].append(len(found))
+                out[1].append(key)
+                out[2].append(heights(found, buckets_of(len(found))).tobytes())
                 if key is not None and key not in seen:
                     seen.add(key)
                     sets.append(found)
@@ -241,7 +240,7 @@ def _measure(words: int, share: float):
                 if len(sets) >= BATCH or held > 6_000_000:
                     yield count(sets, len(sets))
                     sets, seen, held = [], set(), 0
-            yield rows(*out)
+            yield rows(batch.column(0), batch.column(2), *out)
         if sets:
             yield count(sets, len(sets))
 
@@ -385,7 +384,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = materialize(large.filter("a <> b").distinct(), f"{name}-large")
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select(F.explode(F.array("a", "b")).alias("b"), F.col("low").alias("a"))
-        edges = materialize(small.filter("a <> b").distinct(), f"{name}-small")
+        older, edges = edges, materialize(small.filter("a <> b").distinct(), f"{name}-small")
+        release(older, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
@@ -457,26 +457,29 @@ def _exact_in_blocks(members: DataFrame, part: Column, percent: int) -> DataFram
     groups = components(edges, "join-within").select("key", F.col("root").alias("label"))
     placed = materialize(large.select("key", "root").join(groups, "key", "left").withColumn("label", F.coalesce("label", "key")), "join-placed")
     main = placed.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = placed.join(main, "root").filter("label <> main").select("key", "root", "label")
-    rest = materialize(rest, "join-rest")
-    if rest.isEmpty():
+    sized = large.select("key", F.octet_length("data").alias("size")).join(placed, "key").join(main, "root")
+    cuts = sized.withColumn("rest", F.col("label") != F.col("main")).groupBy("root", "main").agg(
+        F.ceil(F.sum(F.when(F.col("rest"), F.col("size"))) / BLOCK_BYTES).cast("int").alias("cuts"), F.ceil(F.sum(F.when(~F.col("rest"), F.col("size"))) / BLOCK_BYTES).cast("int").alias("mains")
+    )
+    cuts = materialize(cuts.filter("cuts > 0"), "join-cuts")
+    if cuts.isEmpty():
         return edges
-    cuts = rest.join(large.select("key", F.octet_length("data").alias("size")), "key").groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("cuts"))
-    labelled = large.join(placed.drop("root"), "key").join(F.broadcast(cuts) if cuts.count() <= BROADCAST_IDS else cuts, "root")
-    cut = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")
-    mine = labelled.select("key", "root", "label", "data", "block", cut)
-    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cuts")).cast("int").alias("cut")
-    theirs = labelled.join(rest.select("key"), "key", "left_semi").select("key", "root", "label", "data", every, own)
-    pairs = mine.unionByName(theirs).select("key", "root", "label", "data", F.xxhash64("root", "block", "cut").alias("part"))
+    # Blocks of the rest meet each other and the blocks of the largest group.
+    rows = large.select("key", "root", "data").join(placed.select("key", "label"), "key").join(F.broadcast(cuts) if cuts.count() <= BROADCAST_IDS else cuts, "root")
+    at = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), F.col(n)).cast("int")
+    over = lambda n, pair: F.transform(F.sequence(F.lit(0), F.col(n) - 1), pair)
+    meet = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    outside = F.concat(over("cuts", lambda j: meet(0, F.least(at("cuts"), j), F.greatest(at("cuts"), j))), over("mains", lambda j: meet(1, at("cuts"), j)))
+    pairs = F.when(F.col("label") != F.col("main"), outside).otherwise(over("cuts", lambda i: meet(1, i, at("mains"))))
+    pairs = rows.select("key", "root", "label", "data", F.explode(pairs).alias("pair")).select("key", "root", "label", "data", F.xxhash64("root", "pair").alias("part"))
     return edges.unionByName(pairs.groupBy("part").applyInArrow(_exact(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    measured = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_measure(words, FREQUENT), "doc_id long, n long, key long, bits binary, frequent binary")
+    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``, and ``text_key``, a hash of its text."""
+    measured = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_measure(words, FREQUENT), "doc_id long, text_key long, n long, key long, bits binary, frequent binary")
     measured = materialize(measured, "join-measures")
-    rows = measured.filter("frequent IS NULL").select("doc_id", "n", "key", "bits")
+    rows = measured.filter("frequent IS NULL").select("doc_id", "text_key", "n", "key", "bits")
     facts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
     facts = materialize(facts, "join-sets")
     total = facts.agg(F.count("*"), F.sum("n")).first()
@@ -495,7 +498,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     edges = lists.select("part", "data").groupBy("part").cogroup(met.groupBy("list")).applyInArrow(_forest(percent), "a long, b long")
     roots = materialize(components(edges, "join-possible"), "join-possible")
 
-    known = materialize(roots.join(facts.select("key", "first", "n"), "key"), "join-members")
+    known = known_sets = materialize(roots.join(facts.select("key", "first", "n"), "key"), "join-members")
     sizes = known.groupBy("root").agg((8 * F.sum("n")).alias("bytes"))
     sizes = sizes.withColumn("blocks", F.when(F.col("bytes") <= 2 * BLOCK_BYTES, 1).otherwise(F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     tasks = max(8, int((known.agg(F.sum("n")).first()[0] or 0) * 8 / SET_BYTES) + 1)
@@ -512,12 +515,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     else:
         exact = _exact_in_blocks(materialize(members, "join-blocks"), part, percent)
     groups = components(exact, "join-exact")
+    release(lists, roots, known_sets)
 
     least = groups.join(facts.select("key", "first"), "key").groupBy("root").agg(F.min("first").alias("component_id"))
     labels = groups.join(least, "root").select("key", F.col("component_id").alias("linked"))
     labels = facts.select("key", "first").join(labels, "key", "left").select("key", F.coalesce("linked", "first").alias("component_id"))
-    out = with_facts(rows.select("doc_id", "n", "key"), labels, hot_keys(facts, "key", "rows"), "key")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = materialize(labels, "join-labels")
+    out = with_facts(rows.select("doc_id", "text_key", "n", "key"), labels, hot_keys(facts, "key", "rows"), "key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,21 +534,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest doc_id, with its columns.
 
-    Of rows that repeat both doc_id and text one stays.  Rows without a doc_id
-    all stay, as nothing tells them apart.
+    Rows are told apart by doc_id and text: where an id stands on two texts, each
+    is judged by itself, and of rows that repeat both one stays.  Rows without a
+    doc_id go where their group has one; otherwise one of each text stays.
     """
-    groups = materialize(near_duplicates(docs, words, percent), "join-groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = near_duplicates(docs, words, percent).withColumn("doc_key", F.xxhash64("doc_id"))
+    groups = materialize(groups.withColumn("first", F.expr("doc_id <=> component_id")).groupBy("doc_key", "text_key").agg(F.bool_or("first").alias("first"), F.count("*").alias("times")), "join-groups")
+    gone, again = groups.filter("NOT first"), groups.filter("first AND times > 1")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("doc_key"), F.xxhash64("text").alias("text_key"))
+    small = lambda df: F.broadcast(df.select("doc_key", "text_key")) if df.count() <= BROADCAST_IDS else df.select("doc_key", "text_key")
+    kept = packed.join(small(gone), ["doc_key", "text_key"], "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select("row.*")
+    once = kept.join(small(again), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"])
+    return kept.join(small(again), ["doc_key", "text_key"], "left_anti").unionByName(once).select("row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join}

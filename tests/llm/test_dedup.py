@@ -86,6 +86,10 @@ def test_join_edges(spark, documents):
     assert got[1:] == [(5, 5), (5, 5), (7, 5 if brute_groups(rows[2:4])[7][1] == 5 else 7), (8, 8)]
     kept = ngram_join.keep_one(documents([(1, text), (1, text), (2, text), (3, "x y"), (4, None)]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == documents([]).columns
+    other = words(40)
+    rows = [(1, text), (9, text), (9, other), (None, text), (None, "alone"), (None, "alone"), (None, None), (11, "x " + text)]
+    kept = ngram_join.keep_one(documents(rows)).collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted([(1, text), (9, other), (0, "alone"), (0, "")])
 
 
 def test_tree_bound_is_safe():
