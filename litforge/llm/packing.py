@@ -10,7 +10,9 @@ A bin carries its members as packed binary, so that no level needs a join.
 
 Cases: null or empty text is the single closing token; documents that are longer
 than a sequence are cut so that only the first piece may be short; repeated rows
-are packed once each; an empty table gives no rows; a null doc_id stays null.
+are packed once each; an empty table gives no rows; a null doc_id stays null; texts of
+any length are encoded whole, one at a time; other columns are dropped, whatever
+their names.
 """
 
 from __future__ import annotations

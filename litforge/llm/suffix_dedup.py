@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from litforge.llm.joins import hot_keys, with_facts
 from litforge.llm.suffix_sort import Scratch, repeated_starts
-from litforge.session import materialize, shared_dir, table
+from litforge.session import materialize, release, shared_dir, table
 
 #: Production parameters.
 LENGTH = 200
@@ -303,13 +303,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tup
     runs = materialize(repeated.groupBy("part").applyInArrow(_by_text(RUN), "key long, data binary"), "repeats-runs")
     size = (runs.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / RUN.itemsize * (length + 70)
     shards = max(16, int(size / SHARD_BYTES) + 1)
-    runs = materialize(runs.join(copies.select("key", F.col("first").alias("doc_id")), "key"), "repeats-runs-ids")
+    runs_by_text = runs
+    runs = runs_with_ids = materialize(runs.join(copies.select("key", F.col("first").alias("doc_id")), "key"), "repeats-runs-ids")
     texts = pick(keyed.select("doc_id", "key", "text"), runs.select("doc_id").distinct(), "doc_id")
     runs = runs.withColumnsRenamed({"key": "run_key", "doc_id": "run_doc"})
     cut = texts.join(runs, (F.col("key") == F.col("run_key")) & F.col("doc_id").eqNullSafe(F.col("run_doc")))
     dealt = cut.select("text", "data").mapInArrow(_cut_runs(length, shards), PACKED)
     spans = dealt.groupBy("part").applyInArrow(_sort_shard(length, buckets, MEMORY, f"{shared_dir(docs.sparkSession)}/litforge/sort"), PACKED)
     spans = materialize(spans.groupBy("part").applyInArrow(_by_text(SPAN), "key long, data binary"), "repeats-spans")
+    release(runs_by_text, runs_with_ids)
     return rows, copies, spans.join(copies.select("key", "first"), "key")
 
 
@@ -332,8 +334,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = texts.withColumn("key", F.xxhash64("text"))
     texts = texts.withColumnsRenamed({"first": "text_first", "key": "text_key"})
     cut = spans.join(texts, (F.col("key") == F.col("text_key")) & F.col("first").eqNullSafe(F.col("text_first"))).select("key", "data", "text").mapInArrow(measure, "key long, removed long, spans long, kept string")
-    cut = materialize(cut, "repeats-cut").dropDuplicates(["key"])
+    cut = cut.dropDuplicates(["key"])
     facts = copies.select("key", (F.col("n") > 1).alias("copied")).join(cut, "key", "left")
+    facts = materialize(facts, "repeats-facts")
     out = with_facts(rows, facts, hot_keys(copies, "key"), "key")
     gone = F.col("copied") & (F.col("n_bytes") >= LENGTH)
     return out.select(
@@ -353,6 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     _, copies, spans = find_repeats(docs, length)
     facts = copies.select("key", (F.col("n") > 1).alias("copied")).join(spans.select("key", F.col("data").alias("spans")), "key", "left").filter("copied OR spans IS NOT NULL")
+    facts = materialize(facts, "repeats-facts")
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     joined = with_facts(keyed, facts, hot_keys(copies, "key"), "key").select("row.*", F.col("copied").alias("__copied"), F.col("spans").alias("__spans"))

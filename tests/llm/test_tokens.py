@@ -2,7 +2,7 @@ import array
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +83,14 @@ def test_packing(spark, documents, folder, libraries):
     assert n <= least + 1
 
 
+def test_packing_without_ids(spark, documents):
+    rows = [(None, "some words"), (None, "some words"), (4, None), (4, None), (5, "word " * 30_000)]
+    docs = documents(rows).selectExpr("*", "0 AS piece", "'x' AS sequence_id", "1 AS length")
+    got = packing.pack(docs).collect()
+    assert Counter(r.doc_id for r in got if r.piece == 0) == {None: 2, 4: 2, 5: 1}
+    assert sum(r.length for r in got if r.doc_id == 5) > 30_000 and {r.length for r in got if r.doc_id == 4} == {1}
+
+
 def test_packing_empty_and_levels(spark, documents, monkeypatch):
     assert packing.pack(documents([])).count() == 0
     monkeypatch.setattr(packing, "ITEMS", 10)
