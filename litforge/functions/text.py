@@ -155,7 +155,7 @@ def first_phrase(text: Column, phrases: list[str]) -> Column:
     """Earliest of the phrases (ties: first listed) with the sentence around it, null if none."""
 
     def sentence(t: Column, best: Column) -> Column:
-        before = F.regexp_extract(F.substring(t, F.lit(1), best["at"] - 1), "[^.!?]*$", 0)
+        before = F.reverse(F.regexp_extract(F.reverse(F.substring(t, F.lit(1), best["at"] - 1)), "^[^.!?]*", 0))  # anchored, so read once
         after = F.regexp_extract(F.substring(t, best["at"], F.length(t)), "^[^.!?]*[.!?]?", 0)
         return F.when(best.isNotNull(), F.struct(best["phrase"].alias("phrase"), best["at"].alias("at"), F.trim(F.concat(before, after)).alias("snippet")))
 
