@@ -243,6 +243,7 @@ def _measure(words: int, share: float):
             yield rows(batch.column(0), batch.column(2), *out)
         if sets:
             yield count(sets, len(sets))
+        _HASHES.clear()  # workers live on
 
     return run
 
@@ -285,6 +286,7 @@ def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
                     held, n = [], 0
         if held:
             yield from flush(held)
+        _HASHES.clear()
 
     return run
 
@@ -401,6 +403,7 @@ def _sets(words: int):
             for at in range(0, len(batch), 500):
                 found = [shingles(t.as_py(), words) for t in batch.column(0).slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
+        _HASHES.clear()
 
     return run
 

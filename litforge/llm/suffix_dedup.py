@@ -45,8 +45,10 @@ from litforge.session import materialize, release, shared_dir, table
 LENGTH = 200
 GRAM = 64
 #: Bytes of run contents that a shard is laid out for, and of marks for a bucket.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
+#: Bytes of contents that a task holds before it deals them to shards.
+CUT_BYTES = 16 << 20
 #: Bytes of tuples and texts that sorting a shard holds in memory, about; the rest is in files of the shared folder.
 MEMORY = 256 << 20
 #: Up to so many ids (16 MB) pick rows by broadcast; beyond, by a shuffled join.
@@ -188,7 +190,7 @@ def _cut_runs(length: int, parts: int):
                 held.append(r)
                 bodies += [body[s : s + n] for s, n in zip(r["start"].tolist(), r["size"].tolist(), strict=True)]
                 size += int(r["size"].sum())
-                if size > 48 << 20:
+                if size > CUT_BYTES:
                     yield from flush(held, bodies)
                     held, bodies, size = [], [], 0
         if held:

@@ -397,6 +397,7 @@ def _levels(t: np.ndarray, cap: int, scratch: Scratch) -> BulkQueue:
     if len(minima) > 1:
         names = _names(t, minima)
         order, whole = _order_of_minima(t, minima, names, cap, scratch)
+        del names
         # Characters of the names in common, then those of the first names that differ.
         before = np.concatenate((order[:1], order[:-1]))
         reach = np.minimum(whole, len(minima) - 1 - np.maximum(order, before))
@@ -408,6 +409,7 @@ def _levels(t: np.ndarray, cap: int, scratch: Scratch) -> BulkQueue:
         common = np.minimum(common, cap)
         common[0] = 0
         minima = minima[order]
+        del order, whole, before, reach, passed, near
     return _induce(t, small, minima, common, size, cap, scratch)
 
 
