@@ -281,7 +281,7 @@ def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
                 r["shingle"], r["key"] = found, key
                 held.append(r)
                 n += len(r)
-                if n > 2_000_000:
+                if n > 600_000:
                     yield from flush(held)
                     held, n = [], 0
         if held:

@@ -121,7 +121,7 @@ def _mark_texts(length: int, gram: int, parts: int):
                 r["mark"], r["key"], r["start"], r["run"], r["tie"] = mark, key, start, run, tie
                 held.append(r)
                 n += len(r)
-                if n > 1_000_000:
+                if n > 300_000:
                     r = np.concatenate(held)
                     yield from _deal(r, _part(r["mark"], parts))
                     held, n = [], 0
