@@ -21,6 +21,30 @@ def test_section_tf(spark):
     assert math.isclose(w[2, "alpha"], math.log(4 / 3) + 1) and math.isclose(w[1, "beta"], 0.5 * (math.log(2) + 1))
 
 
+def test_words_do_not_carry_their_section(spark):
+    """A word's row beside its section's words takes the square of a text's length."""
+    s = spark.createDataFrame([(1, "alpha beta", "gamma")], "doc_id int, abstract string, methods string")
+    node = corpus.section_tf(s)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().apply(0)
+    assert not [x for x in map(node.output().apply, range(node.output().size())) if "array" in x.dataType().catalogString()]
+
+
+def test_weights_by_bounds(spark, monkeypatch):
+    """What bounds leave out is neither among the best nor of the least weight, and most is left out."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{t:04d}" for t in (rng.zipf(1.3, 300) % 3000).tolist())) for i in range(60)]
+    tf = corpus.section_tf(spark.createDataFrame(texts, "doc_id int, abstract string"))
+    monkeypatch.setattr(corpus, "FREQUENT", 10)
+    whole = corpus.tfidf(tf, 60)
+    best = corpus.tfidf(tf, 60, top=5)
+    assert rows(corpus.top_terms(best, 5), "doc_id", "rank") == rows(corpus.top_terms(whole, 5), "doc_id", "rank")
+    assert best.count() < whole.count() / 2
+    strong = corpus.tfidf(tf, 60, least=0.05)
+    assert rows(strong.filter("weight >= 0.05"), "doc_id", "term") == rows(whole.filter("weight >= 0.05"), "doc_id", "term")
+    assert strong.count() < whole.count() / 2
+
+
 def test_similarity_and_gaps(spark):
     w = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (2, "a", 1.0), (2, "b", 1.0), (3, "c", 1.0)], "doc_id int, term string, weight double")
     assert [(a, b, round(s, 9)) for a, b, s in rows(corpus.cosine_pairs(w), "a")] == [(1, 2, 1.0)]
