@@ -70,17 +70,18 @@ def force_layout(n: int, pairs: list[tuple[int, int]], ticks: int = 300, repulsi
     angle = 2 * np.pi * np.arange(n) / max(n, 1)
     x = np.stack((np.cos(angle), np.sin(angle)), axis=1) * 10 * math.sqrt(max(n, 1)) + rng.normal(0, 0.01, (n, 2))
     v, alpha = np.zeros((n, 2)), 1.0
-    degree = np.bincount(np.array(pairs, int).reshape(-1), minlength=n).clip(1) if pairs else np.ones(n)
+    ends = np.array(pairs, int).reshape(-1, 2)
+    a, b = ends.T
+    degree = np.bincount(ends.reshape(-1), minlength=n).clip(1)
+    shares = degree[ends][..., None] * np.array([1.0, -1.0])[:, None]
     for _ in range(ticks):
         d = x[:, None] - x[None]
         r2 = (d**2).sum(axis=2) + 1.0
         force = repulsion * (d / r2[..., None]).sum(axis=1)
-        for a, b in pairs:
-            gap = x[b] - x[a]
-            length = max(float(np.hypot(*gap)), 1e-6)
-            pull = 0.1 * (length - rest) * gap / length
-            force[a] += pull / degree[a]
-            force[b] -= pull / degree[b]
+        gap = x[b] - x[a]
+        length = np.maximum(np.hypot(gap[:, 0], gap[:, 1]), 1e-6)[:, None]
+        pull = 0.1 * (length - rest) * gap / length
+        np.add.at(force, ends, pull[:, None] / shares)  # in the order of the edges
         v = np.clip((v + alpha * force) * 0.6, -200, 200)
         x = x + alpha * v * 0.1
         alpha *= 0.995
