@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -260,3 +261,57 @@ def test_annotations_and_clusters(spark):
     c = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 3, 1)], "graph int, id int, cluster long")
     k = spark.createDataFrame([(1, "b", 1.0), (2, "a", 0.5), (2, "b", 0.1), (3, "a", 1.0), (3, "c", 1.0)], "id int, keyword string, score double")
     assert rows(layout.cluster_keywords(c, k), "cluster") == [(1, 0, "b"), (1, 1, "a")]
+
+
+def test_layout_as_edge_by_edge():
+    """Springs of all edges at once give bit for bit what one after the other gives, and sooner."""
+    n, rng = 40, np.random.default_rng(1)
+    pairs = sorted({(min(p), max(p)) for p in rng.integers(0, n, (90, 2)).tolist() if p[0] != p[1]})
+
+    def plain(ticks):
+        rng = np.random.default_rng(0)
+        angle = 2 * np.pi * np.arange(n) / n
+        x = np.stack((np.cos(angle), np.sin(angle)), axis=1) * 10 * math.sqrt(n) + rng.normal(0, 0.01, (n, 2))
+        v, alpha = np.zeros((n, 2)), 1.0
+        degree = np.bincount(np.array(pairs).reshape(-1), minlength=n).clip(1)
+        for _ in range(ticks):
+            d = x[:, None] - x[None]
+            force = 300.0 * (d / ((d**2).sum(axis=2) + 1.0)[..., None]).sum(axis=1)
+            for a, b in pairs:
+                gap = x[b] - x[a]
+                length = max(float(np.hypot(*gap)), 1e-6)
+                pull = 0.1 * (length - 60.0) * gap / length
+                force[a] += pull / degree[a]
+                force[b] -= pull / degree[b]
+            v = np.clip((v + alpha * force) * 0.6, -200, 200)
+            x = x + alpha * v * 0.1
+            alpha *= 0.995
+        return x
+
+    began = time.process_time()
+    want = plain(60)
+    slow, began = time.process_time() - began, time.process_time()
+    got = layout.force_layout(n, pairs, 60)
+    assert (got == want).all() and time.process_time() - began < slow / 2
+    assert layout.force_layout(3, []).shape == (3, 2)
+
+
+def test_tag_sets_meet_by_class(spark, monkeypatch):
+    """Pairs are made by the last join alone, after which nothing is dealt out."""
+    rows_ = [(i, t) for i in range(40) for t in "abcd"[: i % 3 + 1]] + [(99, "z"), (98, None)]
+    monkeypatch.setattr(corpus, "BLOCK", 5)
+    out = corpus.set_cosine(spark.createDataFrame(rows_, "doc_id int, tag string"))
+    got = {(r.a, r.b): r.score for r in out.collect()}
+    df = {t: sum(u == t for _, u in rows_) for t in "abcz"}
+    vec = {i: {t: math.log(43 / (1 + df[t])) + 1 for j, t in rows_ if j == i and t} for i in [*range(40), 99]}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    want = {(a, b): sum(x * vec[b].get(t, 0) for t, x in vec[a].items()) / norm[a] / norm[b] for a in vec for b in vec if a < b}
+    want = {p: s for p, s in want.items() if s}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in got)
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Project"  # no aggregate over pairs
+
+
+def test_shared_by_given_pairs(spark):
+    w = spark.createDataFrame([(i, t, x) for i, t, x in [(1, "b", 1.0), (1, "a", 1.0), (2, "a", 0.5), (2, "b", 0.6), (3, "a", 0.1)]], "doc_id int, term string, weight double")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
+    assert rows(corpus.shared_by(pairs, w, 0.5), "a") == [(1, 2, ["a", "b"]), (2, 3, None)]
