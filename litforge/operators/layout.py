@@ -99,7 +99,9 @@ def layouts(edges: DataFrame, ticks: int = 300) -> DataFrame:
         x = force_layout(len(names), pairs, ticks)
         return pd.DataFrame({"graph": g["graph"].iloc[0], "id": names, "x": x[:, 0], "y": x[:, 1]})
 
-    return edges.groupBy("graph").applyInPandas(run, f"graph {kinds['graph']}, id {kinds['src']}, x double, y double")
+    # A given number: few bytes take long here, so partitions mustn't be joined by their size.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, "graph").groupBy("graph").applyInPandas(run, f"graph {kinds['graph']}, id {kinds['src']}, x double, y double")
 
 
 def cluster_keywords(clusters: DataFrame, keywords: DataFrame) -> DataFrame:

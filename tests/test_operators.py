@@ -315,3 +315,10 @@ def test_shared_by_given_pairs(spark):
     w = spark.createDataFrame([(i, t, x) for i, t, x in [(1, "b", 1.0), (1, "a", 1.0), (2, "a", 0.5), (2, "b", 0.6), (3, "a", 0.1)]], "doc_id int, term string, weight double")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
     assert rows(corpus.shared_by(pairs, w, 0.5), "a") == [(1, 2, ["a", "b"]), (2, 3, None)]
+
+
+def test_layouts_stay_dealt(spark):
+    """Small graphs are few bytes, and still go to several tasks."""
+    e = spark.createDataFrame([(g, 0, 1) for g in range(40)], "graph int, src int, dst int")
+    out = layout.layouts(e, 1).withColumn("task", F.spark_partition_id())
+    assert len({r.task for r in out.collect()}) > 3
