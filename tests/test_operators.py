@@ -1,4 +1,5 @@
 import math
+import random
 import time
 
 import numpy as np
@@ -108,6 +109,39 @@ def test_chain_metrics(spark):
     assert rows(graph.bfs(e, n.limit(1).filter("id = 'A'").unionByName(n.filter("id = 'A'")), 1), "id") == [("A", 0), ("B", 1)]
 
 
+def test_betweenness_by_component(spark, monkeypatch):
+    """Components apart, in blocks of sources or many to a task, as by counting paths; none is held back by the size of all."""
+    rng = random.Random(5)
+    base = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(70)})
+    pairs = [(100 * c + a, 100 * c + b) for c in range(3) for a, b in base]
+    e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(100 * c + i,) for c in range(3) for i in range(30)], "id long")
+    out = {v: [b for a, b in base if a == v] for v in range(30)}
+
+    def reach(s):
+        depth, count, level = {s: 0}, {s: 1}, [s]
+        while level:
+            new = []
+            for v in level:
+                for w in out[v]:
+                    if w not in depth:
+                        depth[w], count[w] = depth[v] + 1, 0
+                        new.append(w)
+                    if depth[w] == depth[v] + 1:
+                        count[w] += count[v]
+            level = new
+        return depth, count
+
+    d = {v: reach(v) for v in range(30)}
+    between = lambda v, s, t: v in d[s][0] and t in d[v][0] and d[s][0][v] + d[v][0][t] == d[s][0][t]
+    want = {v: sum(d[s][1][v] * d[v][1][t] / d[s][1][t] for s in out for t in d[s][0] if len({s, t, v}) == 3 and between(v, s, t)) for v in out}
+    monkeypatch.setattr(graph, "MOST_EDGES", 100)  # fewer than all have
+    for few, work in ((10, 500), (10_000, 500)):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        monkeypatch.setattr(graph, "BLOCK_WORK", work)
+        got = {r.id: r.betweenness * 89 * 88 for r in graph.betweenness(e, n).collect()}
+        assert len(got) == 90 and all(math.isclose(got[100 * c + v], want[v], abs_tol=1e-9) for c in range(3) for v in out)
+
+
 def test_two_cliques(spark):
     pairs = [(i, j) for b in (0, 10) for i in range(b, b + 6) for j in range(i + 1, b + 6)] + [(0, 10)]
     e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.range(0, 16).filter("id < 6 OR id >= 10")
