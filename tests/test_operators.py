@@ -142,6 +142,42 @@ def test_betweenness_by_component(spark, monkeypatch):
         assert len(got) == 90 and all(math.isclose(got[100 * c + v], want[v], abs_tol=1e-9) for c in range(3) for v in out)
 
 
+def plain_moves(pairs):
+    """The first pass of local moves, every node asked in every sweep."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = 1.0
+    at, degree, total, moved = {v: v for v in near}, {v: float(len(x)) for v, x in near.items()}, 2.0 * len(pairs), True
+    while moved:
+        moved = False
+        for v in sorted(near):
+            mass = lambda c: sum(degree[u] for u in at if at[u] == c and u != v)  # noqa: B023, E731
+            gain = {c: sum(w for u, w in near[v].items() if at[u] == c) - degree[v] * mass(c) / total for c in {at[u] for u in near[v]} | {at[v]}}  # noqa: B023
+            best = min(gain, key=lambda c: (-round(gain[c], 12), c != at[v], c))  # noqa: B023
+            moved, at[v] = moved or best != at[v], best
+    return at
+
+
+def test_communities_by_component(spark, monkeypatch):
+    """Moves as when every node is asked each time, and components dealt to tasks by their number of edges, however few their bytes."""
+    rng = random.Random(3)
+    base = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(120)})
+    moved, whole = plain_moves(base), graph.louvain_partition([(a, b, 1.0) for a, b in base])
+    assert all(whole[a] == whole[b] for a in moved for b in moved if moved[a] == moved[b])
+    plans, write = {}, graph.materialize
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialize", kept)
+    monkeypatch.setattr(graph, "TASK_EDGES", 50, raising=False)
+    pairs = [(100 * c + a, 100 * c + b) for c in range(3) for a, b in base]
+    found = {r.id: r.community_id for r in graph.communities(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(x,) for x in sorted({v for p in pairs for v in p})], "id long")).collect()}
+    assert all((found[100 * c + a] == found[100 * c + b]) == (whole[a] == whole[b]) for c in range(3) for a in whole for b in whole if graph.OTHER not in (found[100 * c + a], found[100 * c + b]))
+    assert "REPARTITION_BY_NUM" in plans["communities"]
+
+
 def test_two_cliques(spark):
     pairs = [(i, j) for b in (0, 10) for i in range(b, b + 6) for j in range(i + 1, b + 6)] + [(0, 10)]
     e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.range(0, 16).filter("id < 6 OR id >= 10")
