@@ -96,6 +96,30 @@ def test_model_gate(spark):
     assert corpus.verified(d, F.col("context")).count() == 0
 
 
+def test_nearest_deals_out_no_pair(spark, monkeypatch):
+    """As by all pairs, over several blocks, with copies, short lists and terms of one document; no pair becomes a row."""
+    from litforge.operators import nearest
+
+    rng = random.Random(7)
+    texts = [[f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(rng.randrange(3, 40))] for _ in range(90)]
+    texts += [list(texts[i % 5]) for i in range(30)] + [["only"], ["pair"], ["pair"], []]
+    tf = [(i, t, x.count(t) / len(x)) for i, x in enumerate(texts) for t in sorted(set(x))]
+    tf = spark.createDataFrame(tf, "doc_id long, term string, tf double")
+    scored = corpus.cosine_pairs(corpus.tfidf(tf, len(texts))).withColumn("score", corpus.T.rounded(F.col("score")))
+    want = rows(corpus.neighbours(scored, 6), "doc_id", "rank")
+
+    def stop(*args, **kwargs):
+        raise AssertionError("pairs are dealt out")
+
+    monkeypatch.setattr(corpus, "_salted", stop)
+    monkeypatch.setattr(nearest, "ENTRIES", 500)
+    assert rows(corpus.nearest(tf, len(texts), 6), "doc_id", "rank") == want and len(want) > 600
+    ids = spark.range(len(texts)).withColumnRenamed("id", "doc_id")
+    full = corpus.similar_papers(tf, len(texts), ids, 6).collect()
+    assert len(full) == 6 * len(texts) and {(r.doc_id, r.rank, r.neighbour, r.score) for r in full} >= set(want)
+    assert {tuple(r.shared) for r in full if {r.doc_id, r.neighbour} == {121, 122}} == {("pair",)}
+
+
 def chain(spark):
     return spark.createDataFrame([("A", "B"), ("B", "C")], "src string, dst string"), spark.createDataFrame([(x,) for x in "ABC"], "id string")
 
