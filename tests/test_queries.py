@@ -41,6 +41,25 @@ def test_sections_hold_whole_texts(spark, tmp_path):
     assert {r.doc_id: r.prompt_sha for r in lookup_queries.prompt_lengths(spark, d).collect()}[1] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_labels_do_not_carry_sections(spark, tmp_path, monkeypatch):
+    """No word's row in the sums of a source holds all words of its section: executors ran out of memory by that."""
+    texts = [(1, "alpha beta beta\ngamma", "en", "a"), (2, "alpha\n\n\n\n\ndelta delta", "en", "b"), (3, None, "en", "b")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, write = [], lookup_queries.corpus.materialize
+    monkeypatch.setattr(lookup_queries.corpus, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan()) or write(df, name))
+    labels = {r.community_id: r.label for r in lookup_queries.community_labels(spark, str(tmp_path)).collect()}
+    # a: beta 4/3 and gamma 1/2 of 5/2, times ln(2) + 1, alpha 2/3; b: alpha 2 and delta 1/2 of 5/2, over two papers.
+    assert labels == {"a": "beta gamma", "b": "alpha delta"}
+    found = []
+    while plans:
+        node = plans.pop()
+        plans.extend(map(node.children().apply, range(node.children().size())))
+        if node.nodeName() == "Generate":
+            types = [node.output().apply(i).dataType().catalogString() for i in range(node.output().size())]
+            found.append(("string" in [node.generatorOutput().apply(i).dataType().catalogString() for i in range(node.generatorOutput().size())], any("array" in t for t in types)))
+    assert [arrays for words, arrays in found if words] == [False]
+
+
 def test_ladders_hold_all_customers(spark, tmp_path):
     sizes = {1: 95, 2: 41, 3: 40, 4: 7, 5: 3, 6: 2}
     rows = [(100 * n + i, n) for n, m in sizes.items() for i in range(m)]
