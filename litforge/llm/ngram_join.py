@@ -7,9 +7,11 @@ is PERCENT per cent or more.  The join is exact:
 2. In any fixed order of shingles, the first floor(n * (100 - PERCENT) / 100) + k
    of a set of n hold k of every set that it links with among that set's own
    first ones.  With k growing with n, a set that finds too few of its first
-   shingles elsewhere has no links and leaves.  The order is by frequency class,
-   then hash: shingles of many texts come last, so passages that many texts
-   share seldom bring them together.
+   shingles elsewhere has no links and leaves; the others pass over nearly half
+   of the k, as two of them still meet in the rest.  Only sets whose sizes allow a
+   link count as elsewhere.  The order is by frequency class, then hash: shingles
+   of many texts come last, so passages that many texts share seldom bring them
+   together.
 3. Texts that share such a shingle meet in its list.  A signature tree over the
    list prunes: a node holds the range of its set sizes and the OR of its token
    bitmaps, and a pair of nodes is left out when the bits that both have are
@@ -34,6 +36,7 @@ gives no rows; ``keep_one`` keeps all columns, of any names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +68,11 @@ BLOCK_BYTES = 24 << 20
 PIVOTS = 8
 BROADCAST_IDS = 1_000_000
 
-POSTING = np.dtype([("shingle", "<u8"), ("key", "<i8")])
+#: A shingle's 32 bits within its part (two that have them alike only make more candidates), the class of its set's size, the set.
+POSTING = np.dtype([("shingle", "<u4"), ("size", "u1"), ("key", "<i8")])
+#: Sizes of a class differ by this ratio at most, but for the last class.
+CLASS = 1.05
+COUNT = np.dtype([("shingle", "<u8"), ("n", "<i8")])
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _HASHES = Memory(xxhash.xxh3_64_intdigest)
 
@@ -104,8 +111,20 @@ def first_ones(n: int, percent: int = PERCENT) -> int:
 
 
 def least_shared(n: str, percent: int = PERCENT) -> str:
-    """SQL: how many of them a set with links finds again.  The other set has percent of n shingles at least."""
-    return f"({n} * {EXTRA * percent} div 10000 + 1)"
+    """SQL: how many of them a set with links finds again.  The other set has percent of n shingles at least.
+
+    Of very many shingles of a set, a few may have the same 32 bits in their part and count once.
+    """
+    return f"({n} * {EXTRA * percent} div 10000 + 1 - {n} div 50000)"
+
+
+def size_class(n: int) -> int:
+    return min(255, int(math.log(n) / math.log(CLASS)))
+
+
+def classes_apart(percent: int = PERCENT) -> int:
+    """How far apart the size classes of two sets that link may be."""
+    return int(math.log(100 / percent) / math.log(CLASS)) + 1
 
 
 def heights(found: np.ndarray, buckets: int) -> np.ndarray:
@@ -220,7 +239,7 @@ def _measure(words: int, share: float):
         chosen = n > max(1, int(share * texts))
         if texts < 2 / share:
             chosen = n >= 2  # too few texts for the share: all that occur twice
-        packed = np.rec.fromarrays((found[chosen], n[chosen].astype("<i8")), dtype=POSTING).tobytes()
+        packed = np.rec.fromarrays((found[chosen], n[chosen].astype("<i8")), dtype=COUNT).tobytes()
         return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +270,13 @@ def _measure(words: int, share: float):
 def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        r = np.concatenate(held)
-        part = (r["shingle"] >> np.uint64(11)) % np.uint64(parts)
+    def flush(held: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
+        found, times = np.concatenate([x for x, _, _ in held]), [len(x) for x, _, _ in held]
+        r = np.empty(len(found), POSTING)
+        r["shingle"] = (found * _FACTORS[6]) >> np.uint64(32)
+        r["size"] = np.repeat(np.array([x for _, x, _ in held], np.uint8), times)
+        r["key"] = np.repeat(np.array([x for _, _, x in held], np.int64), times)
+        part = (found >> np.uint64(11)) % np.uint64(parts)
         order = np.argsort(part.astype(np.int32), kind="stable")
         r, part = r[order], part[order].astype(np.int32)
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
@@ -276,11 +299,8 @@ def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
                     at = np.searchsorted(frequent, found)
                     often = frequent[np.minimum(at, len(frequent) - 1)] == found
                     found = np.concatenate((found[~often], found[often]))
-                found = found[: first_ones(len(found), percent)]
-                r = np.empty(len(found), POSTING)
-                r["shingle"], r["key"] = found, key
-                held.append(r)
-                n += len(r)
+                held.append((found[: first_ones(len(found), percent)].copy(), size_class(len(found)), key))
+                n += len(held[-1][0])
                 if n > 600_000:
                     yield from flush(held)
                     held, n = [], 0
@@ -291,21 +311,27 @@ def _postings(words: int, percent: int, frequent: np.ndarray, parts: int):
     return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """Postings of shingles that two sets have, and the sets' keys with their number of these."""
-    r = np.frombuffer(b"".join(t.column("data").to_pylist()), POSTING)
-    r = r[np.lexsort((r["key"], r["shingle"]))]
-    new = np.ones(len(r), bool)
-    new[1:] = (r["shingle"][1:] != r["shingle"][:-1]) | (r["key"][1:] != r["key"][:-1])
-    r = r[new]
-    first = np.ones(len(r), bool)
-    first[1:] = r["shingle"][1:] != r["shingle"][:-1]
-    group = np.cumsum(first) - 1
-    r = r[np.bincount(group)[group] > 1] if len(r) else r
-    part = t.column("part")[0].as_py()
-    keys, times = np.unique(r["key"], return_counts=True)
-    kind = pa.list_(pa.int64())
-    return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([r.tobytes()], pa.binary()), "keys": pa.array([keys.tolist()], kind), "times": pa.array([times.tolist()], kind)})
+def _shared(percent: int):
+    """Postings of shingles that two sets of sizes that may link have, and the sets' keys with their number of these."""
+    apart = classes_apart(percent)
+
+    def run(t: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(t.column("data").to_pylist()), POSTING)
+        r = r[np.lexsort((r["key"], r["size"], r["shingle"]))]
+        same = r["shingle"][1:] == r["shingle"][:-1]
+        r = r[np.concatenate((np.ones(min(1, len(r)), bool), ~(same & (r["key"][1:] == r["key"][:-1]))))]
+        # By size within a shingle: a set's nearest in size stand beside it.
+        meet = (r["shingle"][1:] == r["shingle"][:-1]) & (r["size"][1:] - r["size"][:-1] <= apart)
+        kept = np.zeros(len(r), bool)
+        kept[1:] |= meet
+        kept[:-1] |= meet
+        r = r[kept]
+        part = t.column("part")[0].as_py()
+        keys, times = np.unique(r["key"], return_counts=True)
+        kind = pa.list_(pa.int64())
+        return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([r.tobytes()], pa.binary()), "keys": pa.array([keys.tolist()], kind), "times": pa.array([times.tolist()], kind)})
+
+    return run
 
 
 def _forest(percent: int):
@@ -396,18 +422,37 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _sets(words: int):
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+    """Sets of ``(text, key, root, blocks)``, of those texts whose set has that key."""
+    schema = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                found = [shingles(t.as_py(), words) for t in batch.column(0).slice(at, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
+                some = batch.slice(at, 500)
+                found = [shingles(t.as_py(), words) for t in some.column(0)]
+                right = [i for i, (x, key) in enumerate(zip(found, some.column(1).to_pylist(), strict=True)) if set_key(x) == key]
+                facts = [some.column(i).take(pa.array(right, pa.int64())) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*facts, pa.array([found[i].tobytes() for i in right], pa.binary())], schema=schema)
         _HASHES.clear()
 
     return run
 
 
+def _texts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(text, key, root, blocks)``: for each of ``known(key, root, blocks, first, first_text)`` the text by which it is known.
+
+    ``known`` is broadcast, by shares where it is long, so no text is dealt out.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text", F.xxhash64("text").alias("doc_text"))
+    shares = max(1, -(-known.count() // BROADCAST_IDS))
+    out = None
+    for i in range(shares):
+        few = known.filter(F.pmod(F.xxhash64("key"), F.lit(shares)) == i)
+        here = texts.join(F.broadcast(few), F.col("doc").eqNullSafe(F.col("first")) & (F.col("doc_text") == F.col("first_text"))).select("text", "key", "root", "blocks")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
 def _exact(percent: int):
     """Sets of whole components, or of blocks of one -> a spanning forest of links.
 
@@ -483,8 +528,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     measured = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_measure(words, FREQUENT), "doc_id long, text_key long, n long, key long, bits binary, frequent binary")
     measured = materialize(measured, "join-measures")
     rows = measured.filter("frequent IS NULL").select("doc_id", "text_key", "n", "key", "bits")
-    facts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
-    facts = materialize(facts, "join-sets")
+    facts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
+    facts = materialize(facts.select("key", F.col("least.doc_id").alias("first"), F.col("least.text_key").alias("first_text"), "n", "bits", "rows"), "join-sets")
     total = facts.agg(F.count("*"), F.sum("n")).first()
     texts, postings = total[0], (total[1] or 0) * (100 - percent + EXTRA) / 100 + total[0]
     often = measured.filter("frequent IS NOT NULL").select(F.col("frequent").alias("data")).mapInArrow(_counts, "shingle long, n long")
@@ -494,31 +539,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     parts = max(8, int(postings * POSTING.itemsize / LIST_BYTES) + 1)
     lists = docs.select("text").mapInArrow(_postings(words, percent, frequent, parts), "part int, data binary")
-    lists = materialize(lists.groupBy("part").applyInArrow(_shared, "part int, data binary, keys array<long>, times array<long>"), "join-lists")
+    lists = materialize(lists.groupBy("part").applyInArrow(_shared(percent), "part int, data binary, keys array<long>, times array<long>"), "join-lists")
     met = lists.select(F.col("part").alias("list"), F.explode(F.arrays_zip("keys", "times")).alias("k")).select("list", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
-    shared = met.groupBy("key").agg(F.sum("times").alias("shared")).join(facts.select("key", "n", "bits"), "key")
-    met = met.drop("times").join(shared.filter("shared >= " + least_shared("n", percent)).drop("shared"), "key")
+    # Two sets that link share least_shared of either at least, so they still meet if each passes over fewer than half of its own.
+    own, least = Window.partitionBy("key"), least_shared("n", percent)
+    met = met.withColumn("shared", F.sum("times").over(own)).withColumn("upto", F.sum("times").over(own.orderBy("times", "list").rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.join(facts.select("key", "n", "bits"), "key").filter(f"shared >= {least} AND upto > ({least} - 1) div 2").select("list", "key", "n", "bits")
     edges = lists.select("part", "data").groupBy("part").cogroup(met.groupBy("list")).applyInArrow(_forest(percent), "a long, b long")
     roots = materialize(components(edges, "join-possible"), "join-possible")
 
-    known = known_sets = materialize(roots.join(facts.select("key", "first", "n"), "key"), "join-members")
+    known = known_sets = materialize(roots.join(facts.select("key", "first", "first_text", "n"), "key"), "join-members")
     sizes = known.groupBy("root").agg((8 * F.sum("n")).alias("bytes"))
     sizes = sizes.withColumn("blocks", F.when(F.col("bytes") <= 2 * BLOCK_BYTES, 1).otherwise(F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     tasks = max(8, int((known.agg(F.sum("n")).first()[0] or 0) * 8 / SET_BYTES) + 1)
-    known = known.join(sizes.select("root", "blocks"), "root")
-    ids = known.select("first").distinct()
-    chosen = docs.select(F.col("doc_id").alias("doc"), "text")
-    if ids.count() <= BROADCAST_IDS:
-        chosen = chosen.join(F.broadcast(ids), F.col("doc").eqNullSafe(F.col("first")), "left_semi")
-    sets = chosen.select("text").mapInArrow(_sets(words), "key long, n long, data binary").drop("n")
-    members = known.select("key", "root", "blocks").join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    known = materialize(known.join(sizes.select("root", "blocks"), "root").select("key", "root", "blocks", "first", "first_text"), "join-placing")
+    members = _texts_of(docs, known).mapInArrow(_sets(words), "key long, root long, blocks int, data binary").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "block"))
     if known.filter("blocks > 1").isEmpty():
         exact = members.select("key", "root", "data", part.alias("part")).groupBy("part").applyInArrow(_exact(percent), "a long, b long")
     else:
         exact = _exact_in_blocks(materialize(members, "join-blocks"), part, percent)
     groups = components(exact, "join-exact")
-    release(lists, roots, known_sets)
+    release(lists, roots, known_sets, known)
 
     least = groups.join(facts.select("key", "first"), "key").groupBy("root").agg(F.min("first").alias("component_id"))
     labels = groups.join(least, "root").select("key", F.col("component_id").alias("linked"))
@@ -530,8 +572,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        r = np.frombuffer(b"".join(batch.column(0).to_pylist()), POSTING)
-        yield pa.RecordBatch.from_arrays([pa.array(r["shingle"].view(np.int64) if r["shingle"].flags.c_contiguous else r["shingle"].copy().view(np.int64)), pa.array(r["key"].copy())], names=["shingle", "n"])
+        r = np.frombuffer(b"".join(batch.column(0).to_pylist()), COUNT)
+        yield pa.RecordBatch.from_arrays([pa.array(r["shingle"].view(np.int64) if r["shingle"].flags.c_contiguous else r["shingle"].copy().view(np.int64)), pa.array(r["n"].copy())], names=["shingle", "n"])
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,6 +93,34 @@ def test_join_edges(spark, documents):
     assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted([(1, text), (9, other), (0, "alone"), (0, "")])
 
 
+def test_join_deals_sets_once(spark, documents, monkeypatch):
+    seen, real = {}, ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges, name: real(seen.setdefault(name, edges), name))
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 50)  # known sets go out by shares
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = near_rows()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert got == brute_groups(rows)
+    plan = seen["join-exact"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lists_keep_sizes_that_link():
+    assert ngram_join.POSTING.itemsize <= 13
+    for n in (1, 5, 99, 100, 4000, 10**6):
+        for m in range(-(-80 * n // 100), n + 1, max(1, n // 50)):
+            assert ngram_join.size_class(n) - ngram_join.size_class(m) <= ngram_join.classes_apart(80)
+    postings = [(7, 100, 1), (7, 200, 2), (7, 210, 3), (7, 210, 3), (9, 100, 1), (9, 300, 4), (11, 100, 5)]
+    packed = np.array([(x, ngram_join.size_class(n), key) for x, n, key in postings], ngram_join.POSTING).tobytes()
+    out = ngram_join._shared(80)(pa.table({"part": pa.array([0], pa.int32()), "data": pa.array([packed], pa.binary())}))
+    assert out.column("keys").to_pylist() == [[2, 3]] and out.column("times").to_pylist() == [[1, 1]]
+    assert len(out.column("data")[0].as_py()) == 2 * ngram_join.POSTING.itemsize
+
+
 def test_tree_bound_is_safe():
     sets = [ngram_join.shingles(t) for _, t in near_rows() if t and len(t.split()) > 4]
     for a in sets[:30]:
