@@ -7,8 +7,7 @@ is PERCENT per cent or more.  The join is exact:
 2. In any fixed order of shingles, the first floor(n * (100 - PERCENT) / 100) + k
    of a set of n hold k of every set that it links with among that set's own
    first ones.  With k growing with n, a set that finds too few of its first
-   shingles elsewhere has no links and leaves; the others pass over nearly half
-   of the k, as two of them still meet in the rest.  Only sets whose sizes allow a
+   shingles elsewhere has no links and leaves.  Only sets whose sizes allow a
    link count as elsewhere.  The order is by frequency class, then hash: shingles
    of many texts come last, so passages that many texts share seldom bring them
    together.
@@ -541,10 +540,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     lists = docs.select("text").mapInArrow(_postings(words, percent, frequent, parts), "part int, data binary")
     lists = materialize(lists.groupBy("part").applyInArrow(_shared(percent), "part int, data binary, keys array<long>, times array<long>"), "join-lists")
     met = lists.select(F.col("part").alias("list"), F.explode(F.arrays_zip("keys", "times")).alias("k")).select("list", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
-    # Two sets that link share least_shared of either at least, so they still meet if each passes over fewer than half of its own.
-    own, least = Window.partitionBy("key"), least_shared("n", percent)
-    met = met.withColumn("shared", F.sum("times").over(own)).withColumn("upto", F.sum("times").over(own.orderBy("times", "list").rowsBetween(Window.unboundedPreceding, 0)))
-    met = met.join(facts.select("key", "n", "bits"), "key").filter(f"shared >= {least} AND upto > ({least} - 1) div 2").select("list", "key", "n", "bits")
+    shared = met.groupBy("key").agg(F.sum("times").alias("shared")).join(facts.select("key", "n", "bits"), "key")
+    met = met.drop("times").join(shared.filter("shared >= " + least_shared("n", percent)).drop("shared"), "key")
     edges = lists.select("part", "data").groupBy("part").cogroup(met.groupBy("list")).applyInArrow(_forest(percent), "a long, b long")
     roots = materialize(components(edges, "join-possible"), "join-possible")
 
