@@ -7,7 +7,8 @@ is PERCENT per cent or more.  The join is exact:
 2. In any fixed order of shingles, the first floor(n * (100 - PERCENT) / 100) + k
    of a set of n hold k of every set that it links with among that set's own
    first ones.  With k growing with n, a set that finds too few of its first
-   shingles elsewhere has no links and leaves.  Only sets whose sizes allow a
+   shingles elsewhere has no links and leaves; the others pass over nearly half
+   of the k, as two of them still meet in the rest.  Only sets whose sizes allow a
    link count as elsewhere.  The order is by frequency class, then hash: shingles
    of many texts come last, so passages that many texts share seldom bring them
    together.
@@ -109,12 +110,12 @@ def first_ones(n: int, percent: int = PERCENT) -> int:
     return n * (100 - percent) // 100 + 1 + n * EXTRA // 100
 
 
-def least_shared(n: str, percent: int = PERCENT) -> str:
-    """SQL: how many of them a set with links finds again.  The other set has percent of n shingles at least.
+def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many of them a set with links finds again.  The other set has percent of n shingles at least.
 
     Of very many shingles of a set, a few may have the same 32 bits in their part and count once.
     """
-    return f"({n} * {EXTRA * percent} div 10000 + 1 - {n} div 50000)"
+    return n * EXTRA * percent // 10000 + 1 - n // 50000
 
 
 def size_class(n: int) -> int:
@@ -333,16 +334,70 @@ def _shared(percent: int):
     return run
 
 
+def _dealt(buckets: int):
+    """The keys of each list and their times, by bucket of the keys."""
+    schema = pa.schema([("bucket", pa.int32()), ("list", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                keys, times = (batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("keys", "times"))
+                order = np.argsort(keys % buckets, kind="stable")
+                bucket = (keys % buckets)[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = [(keys[x].astype("<i8").tobytes(), times[x].astype("<i8").tobytes()) for x in np.split(order, cuts[1:])] if len(cuts) else []
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array([batch.column("part")[at].as_py()] * len(cuts), pa.int32()), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], schema=schema)
+
+    return run
+
+
+def _handed(percent: int):
+    """Keys by list and sets of a bucket -> for each list keys, sizes and bitmaps of the sets that may have links.
+
+    Two sets that link share least_shared of either at least, so they still meet
+    if each passes over fewer than half of its own.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, bytes, bytes, bytes]] = []
+        if len(left) and len(right):
+            keys, times = (np.concatenate([np.frombuffer(x, "<i8") for x in left.column(c).to_pylist()]) for c in ("keys", "times"))
+            own = np.repeat(left.column("list").to_numpy(), [len(x) // 8 for x in left.column("keys").to_pylist()])
+            known = right.column("key").to_numpy()
+            by = np.argsort(known, kind="stable")
+            at = by[np.searchsorted(known[by], keys)]
+            n, bits = right.column("n").to_numpy(), right.column("bits")
+            order = np.lexsort((own, times, at))
+            at, own, times = at[order], own[order], times[order]
+            shared = np.bincount(at, times, len(known)).astype(np.int64)
+            upto = np.cumsum(times) - (np.cumsum(shared) - shared)[at]
+            least = least_shared(n, percent)
+            kept = (shared >= least)[at] & (upto > (least[at] - 1) // 2)
+            at, own = at[kept], own[kept]
+            order = np.argsort(own, kind="stable")
+            at, own = at[order], own[order]
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            for x, some in zip(own[cuts].tolist(), np.split(at, cuts[1:]) if len(cuts) else [], strict=True):
+                out.append((x, known[some].astype("<i8").tobytes(), n[some].astype("<i8").tobytes(), b"".join(bits.take(pa.array(some)).to_pylist())))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["list", "keys", "n", "bits"])
+
+    return run
+
+
 def _forest(percent: int):
     """Lists and the bitmaps of their sets -> a spanning forest of possible links."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         edges: list[tuple[int, int]] = []
         if len(left) and len(right):
-            keys, where = np.unique(right.column("key").to_numpy(), return_index=True)
-            sizes = right.column("n").to_numpy()[where]
-            blobs = right.column("bits").to_pylist()
-            width = np.array([len(b) for b in blobs])[where]
+            keys, sizes = (np.concatenate([np.frombuffer(x, "<i8") for x in right.column(c).to_pylist()]) for c in ("keys", "n"))
+            widths = np.array([buckets_of(n) for n in sizes.tolist()])
+            ends, data = np.cumsum(widths).tolist(), b"".join(right.column("bits").to_pylist())
+            blobs = [data[b - w : b] for b, w in zip(ends, widths.tolist(), strict=True)]
+            keys, where = np.unique(keys, return_index=True)
+            sizes = sizes[where]
+            width = widths[where]
             # Bitmaps of one width, with those of twice the width folded to it: links join no others.
             bits, row = {}, {}
             for w in np.unique(width).tolist():
@@ -539,9 +594,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     parts = max(8, int(postings * POSTING.itemsize / LIST_BYTES) + 1)
     lists = docs.select("text").mapInArrow(_postings(words, percent, frequent, parts), "part int, data binary")
     lists = materialize(lists.groupBy("part").applyInArrow(_shared(percent), "part int, data binary, keys array<long>, times array<long>"), "join-lists")
-    met = lists.select(F.col("part").alias("list"), F.explode(F.arrays_zip("keys", "times")).alias("k")).select("list", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
-    shared = met.groupBy("key").agg(F.sum("times").alias("shared")).join(facts.select("key", "n", "bits"), "key")
-    met = met.drop("times").join(shared.filter("shared >= " + least_shared("n", percent)).drop("shared"), "key")
+    # Sets go through as bytes, by bucket: a row for each list that a set stands in would be far more rows than sets.
+    buckets = max(8, parts // 4)
+    met = lists.select("part", "keys", "times").mapInArrow(_dealt(buckets), "bucket int, list int, keys binary, times binary")
+    placed = facts.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "n", "bits")
+    met = met.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_handed(percent), "list int, keys binary, n binary, bits binary")
     edges = lists.select("part", "data").groupBy("part").cogroup(met.groupBy("list")).applyInArrow(_forest(percent), "a long, b long")
     roots = materialize(components(edges, "join-possible"), "join-possible")
 

@@ -109,6 +109,17 @@ def test_join_deals_sets_once(spark, documents, monkeypatch):
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_join_has_no_row_for_each_list_of_a_set(spark, documents, monkeypatch):
+    seen, real = {}, ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges, name: real(seen.setdefault(name, edges), name))
+    monkeypatch.setattr(ngram_join, "LIST_BYTES", 2000)  # many lists
+    rows = near_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents(rows)).collect()}
+    assert got == brute_groups(rows)
+    plan = seen["join-possible"]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_lists_keep_sizes_that_link():
     assert ngram_join.POSTING.itemsize <= 13
     for n in (1, 5, 99, 100, 4000, 10**6):
