@@ -120,6 +120,40 @@ def test_nearest_deals_out_no_pair(spark, monkeypatch):
     assert {tuple(r.shared) for r in full if {r.doc_id, r.neighbour} == {121, 122}} == {("pair",)}
 
 
+def test_shared_terms_deal_out_no_pair(spark, monkeypatch):
+    """As by all pairs, over several blocks, with numbers or strings as ids; no pair is dealt out."""
+    from litforge.operators import together
+
+    rng = random.Random(9)
+    texts = [sorted({f"w{min(int(rng.paretovariate(0.7)), 200)}" for _ in range(rng.randrange(1, 15))}) for _ in range(70)]
+    monkeypatch.setattr(corpus, "_salted", None)
+    monkeypatch.setattr(together, "ENTRIES", 60)
+    for name, kind in ((lambda i: i, "long"), (lambda i: f"d{i}", "string")):
+        w = spark.createDataFrame([(name(i), t, 1.0) for i, x in enumerate(texts) for t in x] + [(name(0), "low", 0.5), (name(1), "low", 0.5)], f"doc_id {kind}, term string, weight double")
+        ids = sorted((name(i), x) for i, x in enumerate(texts))
+        for least in (1, 3):
+            found = corpus.shared_terms(w, 1.0, least)
+            assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+            want = {(a, b): sorted(set(x) & set(y)) for i, (a, x) in enumerate(ids) for b, y in ids[i + 1 :]}
+            got = [(r.a, r.b, r.terms) for r in found.collect()]
+            assert sorted(got) == sorted((a, b, t) for (a, b), t in want.items() if len(t) >= least)
+    assert corpus.shared_terms(w.limit(0), 1.0).count() == 0
+
+
+def test_contradictions_meet_by_strength(spark, monkeypatch):
+    """Only a strong and a weak document meet; with both marks, repeated marks and none, as from all pairs."""
+    rng = random.Random(11)
+    rows_ = [(i, f"w{min(int(rng.paretovariate(0.9)), 30)}", rng.random() + 0.1) for i in range(40) for _ in range(6)]
+    w = spark.createDataFrame([(i, t, x) for (i, t), x in {(i, t): x for i, t, x in rows_}.items()], "doc_id int, term string, weight double")
+    marks = [(i, i % 3 == 0, i % 5 == 0) for i in range(34)] + [(7, True, None), (100, True, True)]
+    s = spark.createDataFrame(marks, "doc_id int, strong boolean, weak boolean")
+    monkeypatch.setattr(corpus, "BLOCK", 3)
+    want = sorted((r.a, r.b, round(r.confidence, 9)) for r in corpus.contradictions(corpus.cosine_pairs(w, 0.3), s).collect())
+    monkeypatch.setattr(corpus, "_salted", None)
+    got = sorted((r.a, r.b, round(r.confidence, 9)) for r in corpus.contradictions(corpus.cosine_pairs(w, 0.3, s), s).collect())
+    assert got == want and len(want) > 10
+
+
 def chain(spark):
     return spark.createDataFrame([("A", "B"), ("B", "C")], "src string, dst string"), spark.createDataFrame([(x,) for x in "ABC"], "id string")
 
