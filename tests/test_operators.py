@@ -140,6 +140,19 @@ def test_shared_terms_deal_out_no_pair(spark, monkeypatch):
     assert corpus.shared_terms(w.limit(0), 1.0).count() == 0
 
 
+def test_bridges_leave_pairs_in_place(spark):
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = spark.createDataFrame([(1, 2, list("abc")), (1, 3, list("abc")), (2, 3, ["a"])], "a long, b long, terms array<string>")
+        found = corpus.bridges(shared, spark.createDataFrame([(3, 1)], "src long, dst long"))
+        problems = spark.createDataFrame([(1, ["x"]), (2, ["y"])], "doc_id long, open_problems array<string>")
+        out = corpus.bridge_context(problems, found.select("a", "b", "terms"))
+        assert [(r.a, r.b) for r in out.collect()] == [(1, 2)] and "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
 def test_contradictions_meet_by_strength(spark, monkeypatch):
     """Only a strong and a weak document meet; with both marks, repeated marks and none, as from all pairs."""
     rng = random.Random(11)
