@@ -213,6 +213,39 @@ def test_betweenness_by_component(spark, monkeypatch):
         assert len(got) == 90 and all(math.isclose(got[100 * c + v], want[v], abs_tol=1e-9) for c in range(3) for v in out)
 
 
+def test_dependencies_in_products(monkeypatch):
+    """Sums of few paths take two bytes a cell, those of many or of shares eight; depths may pass a byte. As by plain Brandes."""
+    from litforge.operators import paths
+
+    rng = random.Random(13)
+    layered = [(12 * i + a, 12 * i + 12 + b) for i in range(7) for a in range(12) for b in range(12)]
+    cases = [sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(400)} - {(i, i) for i in range(60)}), layered, [(i, i + 1) for i in range(299)] + [(0, 150)]]
+    kinds, times = set(), paths.Links.times
+    monkeypatch.setattr(paths.Links, "times", lambda self, x, *out: kinds.add(x.dtype.itemsize) or times(self, x, *out))
+    for edges in cases:
+        src, dst = np.array(edges).T
+        n = int(max(src.max(), dst.max())) + 1
+        want = np.zeros(n)
+        for s in range(n):
+            depth, count, seen, share = {s: 0}, {s: 1}, [s], dict.fromkeys(range(n), 0.0)
+            near = {v: dst[src == v].tolist() for v in range(n)} if s == 0 else near  # noqa: F821
+            for v in seen:
+                for w in near[v]:
+                    if w not in depth:
+                        depth[w], count[w] = depth[v] + 1, 0
+                        seen.append(w)
+                    if depth[w] == depth[v] + 1:
+                        count[w] += count[v]
+            for v in reversed(seen[1:]):
+                share[v] = sum(count[v] / count[w] * (1 + share[w]) for w in near[v] if depth[w] == depth[v] + 1)
+                want[v] += share[v]
+        for factor in (10**9, 1):  # products alone, or cells alone
+            monkeypatch.setattr(paths, "SMALL", factor, raising=False)
+            monkeypatch.setattr(paths, "SINGLE", factor)
+            assert np.allclose(paths.dependencies(src, dst, n, np.arange(n)), want, rtol=1e-12, atol=1e-12)
+    assert kinds == {2, 8}
+
+
 def plain_moves(pairs):
     """The first pass of local moves, every node asked in every sweep."""
     near = {}
