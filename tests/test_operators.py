@@ -282,6 +282,25 @@ def test_communities_by_component(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plans["communities"]
 
 
+def test_partitions_hold_links_in_arrays():
+    """A partition takes few bytes an edge, and names communities as one of named pairs does; fractional weights and self-loops too."""
+    import tracemalloc
+
+    rng = random.Random(17)
+    pairs = sorted({tuple(sorted((rng.randrange(1500), rng.randrange(1500)))) for _ in range(30_000)})
+    a, b = np.array(pairs).T
+    tracemalloc.start()
+    try:
+        graph.louvain_arrays(a, b, np.ones(len(a)), 1500)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 400 * len(pairs)
+    blocks = [(10 * c + i, 10 * c + j, 0.3) for c in range(4) for i in range(6) for j in range(i, 6)] + [(10 * c, 10 * c + 10, 0.1) for c in range(3)]
+    found = graph.louvain_partition([(f"{x:02}", f"{y:02}", w) for x, y, w in blocks])
+    assert {frozenset(v for v in found if found[v] == c) for c in found.values()} == {frozenset(f"{10 * c + i:02}" for i in range(6)) for c in range(4)}
+
+
 def test_two_cliques(spark):
     pairs = [(i, j) for b in (0, 10) for i in range(b, b + 6) for j in range(i + 1, b + 6)] + [(0, 10)]
     e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.range(0, 16).filter("id < 6 OR id >= 10")
