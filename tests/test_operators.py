@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from litforge.operators import corpus, detectors, evaluate, graph, layout, queue, relational
@@ -180,6 +181,29 @@ def test_chain_metrics(spark):
     assert rows(graph.bfs(e, n.limit(1).filter("id = 'A'").unionByName(n.filter("id = 'A'")), 1), "id") == [("A", 0), ("B", 1)]
 
 
+def test_metrics_deal_out_no_round(spark, monkeypatch):
+    """Ranks of components taken apart are those of the whole graph, with sinks, self-loops, repeated edges, lone and unknown nodes; no round is dealt out."""
+    rng = random.Random(17)
+    pairs = [(100 * c + rng.randrange(30), 100 * c + rng.randrange(25)) for c in range(4) for _ in range(15 + 20 * c)] + [(500, 501), (501, 501), (502, 502), (503, 999), (500, 501)]
+    ids = [100 * c + i for c in range(4) for i in range(30)] + [500, 501, 502, 503]
+    e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i,) for i in ids], "id long")
+    want = {x.id: pytest.approx(x.pagerank, rel=1e-12) for x in graph.pagerank(e, n, 7).collect()}
+
+    def stop(*args, **kwargs):
+        raise AssertionError("rounds are dealt out")
+
+    monkeypatch.setattr(graph, "pagerank", stop)
+    for few in (40, 10_000):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        got = {x.id: x.pagerank for x in graph.metrics(e, n, 7).collect()}
+        assert got == want and math.isclose(sum(got.values()), 1.0)
+    monkeypatch.setattr(graph, "MOST_EDGES", 20)
+    with pytest.raises(ValueError):
+        graph.metrics(e, n)
+    assert graph.metrics(e.limit(0), n.limit(0)).count() == 0
+    assert [x.pagerank for x in graph.metrics(e.limit(0), n).collect()] == [pytest.approx(1 / len(ids))] * len(ids)
+
+
 def test_betweenness_by_component(spark, monkeypatch):
     """Components apart, in blocks of sources or many to a task, as by counting paths; none is held back by the size of all."""
     rng = random.Random(5)
