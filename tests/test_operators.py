@@ -121,6 +121,39 @@ def test_nearest_deals_out_no_pair(spark, monkeypatch):
     assert {tuple(r.shared) for r in full if {r.doc_id, r.neighbour} == {121, 122}} == {("pair",)}
 
 
+def test_pieces_meet_once_for_both(spark, monkeypatch):
+    """Documents of like words are in a piece; two pieces' products, by matrices or term by term, give the k best of both, ties to the smaller id."""
+    from litforge.operators import nearest
+
+    rng = np.random.default_rng(3)
+    tf = spark.createDataFrame([(i, f"{'abc'[i % 3]}{j}", 0.5) for i in range(36) for j in range(4) if (i + j) % 5], "doc_id long, term string, tf double")
+    df = tf.groupBy("term").count().selectExpr("term", "cast(ascii(term) * 10 + substr(term, 2) AS int) AS id", "count AS df")
+    found = nearest.kinds(tf, df)
+    assert len(found) == 12 and len({(i // 10, k) for i, k in found.items()}) == len(set(found.values())) == 3
+    dense = [np.where(rng.random((n, 30)) < rng.random(30) ** 2, rng.integers(1, 4, (n, 30)), 0).astype(float) for n in (40, 25)]
+    for x in dense:
+        x[3:9] = x[3]  # copies tie
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1)[:, None]
+    a, b = (nearest.Piece(5, len(x), ids.astype("i4"), (doc + 5).astype("i4"), x[doc, ids]) for x in dense for ids, doc in [np.nonzero(x.T)])
+    want = dense[0] @ dense[1].T
+    place = np.full(31, -1)
+    place[a.terms] = np.arange(len(a.terms))
+    for single, width, at_once in ((0, 1024, 7), (10**9, 4, 7), (3, 4, 50)):
+        monkeypatch.setattr(nearest, "SINGLE", single)
+        monkeypatch.setattr(nearest, "WIDTH", width)
+        monkeypatch.setattr(nearest, "AT_ONCE", at_once)
+        assert np.allclose(nearest.scores(a, b, place), want, atol=1e-12)
+    assert nearest.scores(a, nearest.Piece(0, 1, np.array([30]), np.array([0]), np.ones(1)), place) is None
+    for side, s in ((0, want), (1, want.T)):
+        names = rng.permutation(100)[: s.shape[1]]
+        best = nearest.Best(5 + len(s), 2)
+        for part in (slice(0, 9), slice(9, None)):
+            best.take(5, want[:, part] if side == 0 else want[part], names[part], side)
+        for i, codes in enumerate(best.codes[5:]):
+            keys = sorted((-np.floor(x * 1e6 + 0.5), n) for x, n in zip(s[i], names, strict=True) if x > 0)[:2]
+            assert [(c >> 31, c & (2**31 - 1)) for c in codes if c < nearest.NONE] == [(nearest.TOP + x, n) for x, n in keys]
+
+
 def test_shared_terms_deal_out_no_pair(spark, monkeypatch):
     """As by all pairs, over several blocks, with numbers or strings as ids; no pair is dealt out."""
     from litforge.operators import together
