@@ -121,6 +121,14 @@ def test_nearest_deals_out_no_pair(spark, monkeypatch):
     assert {tuple(r.shared) for r in full if {r.doc_id, r.neighbour} == {121, 122}} == {("pair",)}
 
 
+def test_similar_papers_write_terms_once(spark, monkeypatch):
+    tf = spark.createDataFrame([(i, f"w{j}", 0.5) for i in range(6) for j in range(i % 3 + 1)], "doc_id long, term string, tf double")
+    written, write = [], corpus.materialize
+    monkeypatch.setattr(corpus, "materialize", lambda df, name: written.append(name) or write(df, name))
+    found = corpus.similar_papers(tf, 6, spark.range(6).withColumnRenamed("id", "doc_id"), 2).collect()
+    assert len(found) == 12 and [x for x in written if x.endswith("-tf")] == ["similar-tf"]
+
+
 def test_pieces_meet_once_for_both(spark, monkeypatch):
     """Documents of like words are in a piece; two pieces' products, by matrices or term by term, give the k best of both, ties to the smaller id."""
     from litforge.operators import nearest
